@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
+from .mixing import OP8_SQL, op8_mix
+from .order import op10_order
+from .packing import op6_best_fit
 from .quality import OP3_SQL, op3_adaptive_quality
+from .urls import OP2_SQL, op2_link_trust
+from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op3_adaptive_quality": op3_adaptive_quality}
-ORACLES = {"op3_adaptive_quality": OP3_SQL}
+QUERIES = {
+    "op2_link_trust": op2_link_trust,
+    "op3_adaptive_quality": op3_adaptive_quality,
+    "op6_best_fit": op6_best_fit,
+    "op8_mix": op8_mix,
+    "op9_warc": op9_warc,
+    "op10_order": op10_order,
+}
+ORACLES = {
+    "op2_link_trust": OP2_SQL,
+    "op3_adaptive_quality": OP3_SQL,
+    "op8_mix": OP8_SQL,
+    "op9_warc": OP9_SQL,
+}
