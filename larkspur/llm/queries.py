@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .dedup import op1_setsketch_dedup
 from .mixing import OP8_SQL, op8_mix
 from .order import op10_order
 from .packing import op6_best_fit
@@ -10,6 +11,7 @@ from .urls import OP2_SQL, op2_link_trust
 from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
+    "op1_setsketch_dedup": op1_setsketch_dedup,
     "op2_link_trust": op2_link_trust,
     "op3_adaptive_quality": op3_adaptive_quality,
     "op6_best_fit": op6_best_fit,
