@@ -1,15 +1,13 @@
 """Training order on disk: a keyed permutation gives each sequence its slot in fixed-stride shards.
 
 Token ids of the documents of one input partition form a stream that is cut into sequences
-of ``length`` ids; the last is padded. A first pass counts the sequences of each partition,
-so that the second can number them densely. A Feistel network over the next even number of
+of ``length`` ids; the last is padded. The sequences are kept in a scratch table, from which
+the counts per partition number them densely. A Feistel network over the next even number of
 bits, walked until it falls into the range, permutes 0..n-1: each task computes slots on its
 own, without a shuffle or a table, and the order can be computed again, or inverted, from
 the key alone. A shard holds a range of slots, is written by one task and has one stride, so
 that slot s stands at byte ``(s % per_shard) * stride``; a reader resumes by seeking.
 
-Each pass plans the same input partitions; if a partition yields another number of sequences
-than was counted (an input that is not repeatable), the write fails rather than misplace any.
 Shards are written under a name of the attempt and then renamed; a shard that is already
 there with its full size is kept, which makes a broken run resumable.
 
@@ -98,55 +96,39 @@ def write_shards(docs: DataFrame, folder: str, path: str, key: int = KEY, length
 
     from .warc import _fs
 
-    source = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.spark_partition_id().alias("part"))
+    source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
-    def parted(batches: Iterator[pa.RecordBatch]) -> tuple[int, Iterator[pa.RecordBatch]] | None:
-        import itertools
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, rows = 0, []
 
-        batches = iter(batches)
-        for batch in batches:
-            if batch.num_rows:
-                return batch.column(2)[0].as_py(), itertools.chain([batch], batches)
-        return None
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(range(k - len(rows), k), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True))]
+            return pa.RecordBatch.from_arrays(columns, names=["k", "doc_id", "n_ids", "ids"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if found := parted(batches):
-            n = sum(1 for _ in _sequences(found[1], path, length, end, pad))
-            yield pa.RecordBatch.from_arrays([pa.array([found[0]], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
+        for row in _sequences(batches, path, length, end, pad):
+            rows.append(row)
+            k += 1
+            if len(rows) == 1024:
+                yield batch()
+                rows = []
+        if rows:
+            yield batch()
 
+    sequences = scratch.materialize(source.mapInArrow(cut, "k bigint, doc_id bigint, n_ids int, ids binary").withColumn("part", F.spark_partition_id()), "sequences", compression="zstd")
     # One row per input partition, as the driver holds for its tasks anyway.
-    counts = sorted((r.part, r.n) for r in source.mapInArrow(count, "part int, n bigint").collect())
     base, total = {}, 0
-    for part, n in counts:
-        base[part] = (total, n)
+    for part, n in sorted((r[0], r[1]) for r in sequences.groupBy("part").count().collect()):
+        base[part] = total
         total += n
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        if not (found := parted(batches)):
-            return
-        start, expected = base.get(found[0], (0, -1))
-        n, rows = 0, []
-
-        def batch() -> pa.RecordBatch:
-            index = np.arange(start + n - len(rows), start + n, dtype=np.uint64)
-            slot = feistel(index, total, key).astype(np.int64)
-            columns = [pa.array(slot // per_shard), pa.array(slot), pa.array(index.astype(np.int64)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "slot", "sequence", "doc_id", "n_ids", "ids"])
-
-        for row in _sequences(found[1], path, length, end, pad):
-            rows.append(row)
-            n += 1
-            if n > expected:
-                break
-            if len(rows) == 1024:
-                yield batch()
-                rows = []
-        if n != expected:
-            raise ValueError(f"partition {found[0]} has another number of sequences than was counted: materialise the input first")
-        if rows:
-            yield batch()
+        for batch in batches:
+            start = np.array([base[p] for p in batch.column("part").to_pylist()], dtype=np.int64)
+            index = start + batch.column("k").to_numpy(zero_copy_only=False)
+            slot = feistel(index.astype(np.uint64), total, key).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(index), *(batch.column(c) for c in ("doc_id", "n_ids", "ids"))], names=["shard", "slot", "sequence", "doc_id", "n_ids", "ids"])
 
     def write(table: pa.Table) -> pa.Table:
         import pyarrow.parquet as pq
@@ -167,7 +149,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, key: int = KEY, length
 
     fs, top = _fs(folder)
     fs.create_dir(top, recursive=True)
-    placed = source.mapInArrow(dealt, "shard bigint, slot bigint, sequence bigint, doc_id bigint, n_ids int, ids binary")
+    placed = sequences.mapInArrow(dealt, "shard bigint, slot bigint, sequence bigint, doc_id bigint, n_ids int, ids binary")
     return scratch.materialize(placed.groupBy("shard").applyInArrow(write, "shard bigint, path string, sequences bigint"), "shards")
 
 

@@ -7,6 +7,7 @@ from .mixing import OP8_SQL, op8_mix
 from .order import op10_order
 from .packing import op6_best_fit
 from .quality import OP3_SQL, op3_adaptive_quality
+from .repeats import op4_prefix_free
 from .urls import OP2_SQL, op2_link_trust
 from .warc import OP9_SQL, op9_warc
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_setsketch_dedup": op1_setsketch_dedup,
     "op2_link_trust": op2_link_trust,
     "op3_adaptive_quality": op3_adaptive_quality,
+    "op4_prefix_free": op4_prefix_free,
     "op6_best_fit": op6_best_fit,
     "op8_mix": op8_mix,
     "op9_warc": op9_warc,
