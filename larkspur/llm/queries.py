@@ -8,6 +8,7 @@ from .order import op10_order
 from .packing import op6_best_fit
 from .quality import OP3_SQL, op3_adaptive_quality
 from .repeats import op4_prefix_free
+from .topk import OP7_SQL, op7_exact_topk
 from .urls import OP2_SQL, op2_link_trust
 from .warc import OP9_SQL, op9_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_adaptive_quality": op3_adaptive_quality,
     "op4_prefix_free": op4_prefix_free,
     "op6_best_fit": op6_best_fit,
+    "op7_exact_topk": op7_exact_topk,
     "op8_mix": op8_mix,
     "op9_warc": op9_warc,
     "op10_order": op10_order,
@@ -24,6 +26,7 @@ QUERIES = {
 ORACLES = {
     "op2_link_trust": OP2_SQL,
     "op3_adaptive_quality": OP3_SQL,
+    "op7_exact_topk": OP7_SQL,
     "op8_mix": OP8_SQL,
     "op9_warc": OP9_SQL,
 }
