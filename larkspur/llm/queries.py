@@ -8,6 +8,7 @@ from .order import op10_order
 from .packing import op6_best_fit
 from .quality import OP3_SQL, op3_adaptive_quality
 from .repeats import op4_prefix_free
+from .secrets import op5_secret_forest
 from .topk import OP7_SQL, op7_exact_topk
 from .urls import OP2_SQL, op2_link_trust
 from .warc import OP9_SQL, op9_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_link_trust": op2_link_trust,
     "op3_adaptive_quality": op3_adaptive_quality,
     "op4_prefix_free": op4_prefix_free,
+    "op5_secret_forest": op5_secret_forest,
     "op6_best_fit": op6_best_fit,
     "op7_exact_topk": op7_exact_topk,
     "op8_mix": op8_mix,
