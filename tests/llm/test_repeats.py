@@ -61,8 +61,9 @@ def test_pieces_of_a_long_text():
     data = np.frombuffer(("wörd " * 50 + "x" * 300).encode() * 3, dtype=np.uint8)
     with np.errstate(over="ignore"):
         h = repeats._Hashes(1)
-        t, w, first, last = repeats.parsed(data, h)
+        _, _, first, last, at = repeats.parsed(data, h)
     assert first[0] == 0 and last[-1] == len(data) - 100 and (first[1:] == last[:-1] + 1).all()
+    assert ((at >= last) & (at - first <= 76)).all()
 
 
 def test_odd_rows(spark):
