@@ -2,15 +2,187 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.operators import censoring, closed_loop, evaluation, features, forecasting, lifecycle, panel, simulation
+
+from .steps import TABLES, Node, oracle, resolve
+
+HORIZON = 14
+CALIBRATION, VALIDATION, TEST = (167,), (181, 195), (209,)
+ORIGINS = CALIBRATION + VALIDATION + TEST
+CFG = simulation.InventoryConfig()
+
+_t = {t: t for t in panel.CANONICAL.inputs}
+_ft = {"forecast": "calibrated", "truth": "truth"}
+
+
+def _node(step, keep: bool = False, **feeds: str) -> Node:
+    return Node(step, feeds, keep)
+
+
+def _select(sql: str):
+    from .steps import Step
+
+    return Step(("x",), lambda d: sql)
+
+
+GRAPH: dict[str, Node] = {
+    "panel": Node(panel.CANONICAL, _t, True),
+    "priced": _node(panel.PRICED, True, panel="panel"),
+    "contract": _node(panel.CONTRACT, panel="priced"),
+    "sampled": _node(panel.balanced(5000), panel="priced"),
+    "cohort": _node(panel.cohort(12, 4), panel="priced"),
+    "censored": _node(censoring.controlled_stockouts(), panel="priced"),
+    "recovered": _node(censoring.RECOVERED, True, panel="censored"),
+    "recovery": _node(censoring.DIAGNOSTICS, panel="recovered"),
+    "draws": _node(censoring.posterior(5), panel="recovered"),
+    "featured": _node(features.time_features_step(), True, panel="recovered"),
+    "training": _node(features.training_step(60, 7), featured="featured"),
+    "origin": _node(features.origin_step(TEST[0], HORIZON), featured="featured"),
+    "regimes": _node(lifecycle.regime_step("recovered_demand_mean"), True, panel="recovered"),
+    "states": _node(lifecycle.STATES, panel="regimes"),
+    "life": Node(lifecycle.benchmark_step(), {}, True),
+    "life_regimes": _node(lifecycle.regime_step("sales"), panel="life"),
+    "life_states": _node(lifecycle.STATES, panel="life_regimes"),
+    "life_scores": _node(lifecycle.SCORES, truth="life", estimate="life_states"),
+    "seasonal": _node(forecasting.seasonal_step(ORIGINS, HORIZON), panel="recovered"),
+    "smoothed": _node(forecasting.tsb_step(ORIGINS, HORIZON), panel="recovered"),
+    "both": _node(forecasting.UNION, a="seasonal", b="smoothed"),
+    "raw": _node(forecasting.REPAIR, True, forecast="both"),
+    "truth": _node(_select("select series_id, date_idx, demand, category, store, promo, stockout, drat_state from {x}"), x="regimes"),
+    "adjustment": _node(forecasting.adjustment_step(VALIDATION[0]), forecast="raw", truth="truth"),
+    "applied": _node(forecasting.applied_step(VALIDATION[0]), forecast="raw", adjustment="adjustment"),
+    "calibrated": _node(_select(f"select * from {{x}} where origin in {VALIDATION}"), True, x="applied"),
+    "window": _node(_select(f"select series_id, date_idx, demand from {{x}} where date_idx > {VALIDATION[0]} and date_idx <= {VALIDATION[-1] + HORIZON}"), x="truth"),
+    "coverage": _node(forecasting.KEY_COVERAGE, forecast="calibrated", truth="window"),
+    "metrics": _node(evaluation.MODEL_METRICS, **_ft),
+    "slices": _node(evaluation.slice_step(), **_ft),
+    "slice_summary": _node(evaluation.SLICE_SUMMARY, slices="slices"),
+    "one_slice": _node(evaluation.slice_step(candidate="tsb"), **_ft),
+    "router": _node(evaluation.router_step(), **_ft),
+    "nodes": _node(evaluation.POINT_NODES, forecast="calibrated", metadata="truth"),
+    "node_error": _node(evaluation.NODE_ERROR, nodes="nodes"),
+    "service": _node(simulation.quantile_step(CFG.service), forecast="calibrated"),
+    "initial": _node(simulation.initial_step(CFG), True, forecast="calibrated"),
+    "grid": _node(simulation.open_loop_step(CFG, simulation.SCALES), True, forecast="calibrated", truth="truth", initial="initial"),
+    "simulated": _node(_select("select * from {x} where policy_scale = 1e0"), x="grid"),
+    "kpis": _node(simulation.SUMMARY, simulation="grid"),
+    "inventory": _node(_select("select * from {x} where policy_scale = 1e0"), x="kpis"),
+    "tuning": _node(simulation.TUNING, summary="kpis"),
+    "best": _node(simulation.BEST_POLICY, tuning="tuning"),
+    "wins": _node(simulation.WIN_RATE, simulation="grid"),
+    "decision": _node(evaluation.decision_router_step(), forecast="calibrated", truth="truth", simulation="simulated"),
+    "routed": _node(evaluation.ROUTED, forecast="calibrated", routing="decision"),
+    "routing": _node(evaluation.ROUTING_SUMMARY, routing="decision"),
+    "tested": _node(_select(f"select * from {{x}} where origin = {TEST[0]} and model = 'tsb'"), x="applied"),
+    "paths": _node(simulation.paths_step(20), True, forecast="tested"),
+    "path_scores": _node(simulation.PATH_DIAGNOSTICS, scenarios="paths"),
+    "path_nodes": _node(evaluation.PATH_NODES, forecast="paths", metadata="truth"),
+    "loops": Node(closed_loop.paths_step(), {}),
+    "replay": _node(closed_loop.replay_step(CFG), True, paths="loops"),
+    "replay_summary": _node(closed_loop.REPLAY_SUMMARY, replay="replay"),
+    "replay_slices": _node(closed_loop.REPLAY_SLICES, replay="replay"),
+    "replay_comparison": _node(closed_loop.SLICE_COMPARISON, slices="replay_slices"),
+    "sweep": _node(closed_loop.replay_step(CFG, safeties=closed_loop.SAFETIES), paths="loops"),
+    "sweep_summary": _node(closed_loop.REPLAY_SUMMARY, replay="sweep"),
+    "daily": _node(simulation.DAILY_MART, panel="recovered", regimes="regimes"),
+    "kpi_mart": _node(simulation.KPI_MART, simulation="grid"),
+}
+
+_PANEL = "series_id, date_idx, ~sales, ~demand, stockout, ~price, promo, category, store, dow"
+_F = "series_id, origin, date_idx, horizon, ~q10, ~q50, ~q90, model"
+_REGIMES = "series_id, date_idx, " + ", ".join(f"~drat_{r}" for r in lifecycle.REGIMES) + ", ~drat_entropy, ~drat_velocity, drat_state, ~drat_progress"
+_SIM = "model, series_id, date_idx, ~initial_inventory, ~opening_inventory, ~arrivals, ~demand, ~sales, ~lost_sales, ~ending_inventory, ~inventory_position, ~target_inventory_position, decision_eligible, is_review_period, ~order_qty, ~open_order_qty, stockout, ~cost, policy_scale"
+_KPI = "model, policy_scale, ~total_cost, ~lost_sales, ~fill_rate, ~stockout_rate, ~average_inventory, ~order_volatility"
+_SLICES = "model, dimension, slice_value, n, ~candidate_wape, ~baseline_wape, ~relative_wape_regression, ~candidate_signed_bias, ~baseline_signed_bias, ~candidate_coverage_80, ~baseline_coverage_80"
+_REPLAY = "policy, recovery_safety, ~total_cost, ~lost_sales, ~stockout_rate, ~repeat_stockout_ratio, ~repeat_stockout_share, repeat_stockout_events, ~cumulative_bias, ~inventory_oscillation"
+
+#: Query -> (node, columns); ~ marks a float, which is rounded to six digits.
+OUTPUTS: dict[str, tuple[str, str]] = {
+    "panel_canonical": ("panel", _PANEL),
+    "panel_contract_counters": ("contract", "row_count, series_count, min_date, max_date, null_ids, bad_measures, bad_prices, bad_flags, bad_dow, demand_below_sales, duplicate_keys, short_series, broken_series, unaligned_bounds"),
+    "price_imputed": ("priced", _PANEL),
+    "balanced_sample": ("sampled", _PANEL),
+    "cohort_selection": ("cohort", "series_id, category, store, ~score, volume_bin, place"),
+    "censored_panel": ("censored", _PANEL + ", ~controlled_true_demand, controlled_stockout"),
+    "recovered_panel": ("recovered", "series_id, date_idx, ~sales, ~recovered_demand_mean, ~recovery_uncertainty, ~recovered_q80, ~recovered_q95, ~recovery_confidence"),
+    "recovery_diagnostics": ("recovery", "n_controlled, ~raw_mae, ~recovered_mae, ~raw_bias, ~recovered_bias, ~mae_improvement, ~absolute_bias_improvement, ~q80_upper_coverage, ~q95_upper_coverage, ~do_no_harm_max"),
+    "posterior_draws": ("draws", "series_id, date_idx, draw, ~latent_demand_draw"),
+    "time_features": ("featured", "series_id, date_idx, " + ", ".join(f"~{f}" for f in features.FEATURES)),
+    "direct_training_frame": ("training", "series_id, date_idx, horizon, ~target, future_dow, ~future_price, future_promo, ~lag_7, ~roll_mean_14"),
+    "origin_frame": ("origin", "series_id, date_idx, horizon, future_dow, ~future_price, future_promo, ~lag_1, ~roll_std_28, ~zero_ratio_14"),
+    "drat_features": ("regimes", _REGIMES),
+    "ladt_states": ("states", "series_id, date_idx, estimated_lifecycle_state, ~estimated_ladt"),
+    "lifecycle_benchmark": ("life", "series_id, date_idx, ~sales, true_lifecycle_state, ~true_ladt"),
+    "lifecycle_metrics": ("life_scores", "n, ~state_macro_f1, ~ladt_mae, ~ladt_spearman"),
+    "seasonal_naive": ("seasonal", _F),
+    "tsb": ("smoothed", _F),
+    "repaired_forecasts": ("raw", _F),
+    "conformal_adjustments": ("adjustment", "model, horizon, ~adjustment, ~local_adjustment, ~pooled_adjustment, ~shrinkage_weight, n"),
+    "conformal_applied": ("applied", _F),
+    "forecast_key_coverage": ("coverage", "row_count, null_quantiles, negative_forecasts, quantile_crossing, bad_horizons, missing_keys, extra_keys, broken_horizons"),
+    "forecast_metrics": ("metrics", "model, n, ~wape, ~signed_bias, ~coverage_80, ~mean_interval_width, ~pinball_10, ~pinball_50, ~pinball_90"),
+    "validation_slices": ("slices", _SLICES),
+    "slice_report": ("one_slice", _SLICES),
+    "slice_summary": ("slice_summary", "model, n_slices, ~worst_relative_wape_regression, worst_slice, ~slice_win_rate"),
+    "reconciled_points": ("nodes", "model, origin, date_idx, horizon, node_id, level, category, store, ~q10, ~q50, ~q90"),
+    "hierarchy_error": ("node_error", "~hierarchy_max_error"),
+    "service_quantile": ("service", "model, series_id, origin, date_idx, horizon, ~service_quantile"),
+    "initial_inventory": ("initial", "series_id, ~initial_inventory"),
+    "open_loop_sim": ("simulated", _SIM),
+    "inventory_summary": ("inventory", _KPI),
+    "policy_tuning": ("tuning", _KPI + ", meets_fill_guardrail"),
+    "best_policy": ("best", "model, ~total_cost, ~lost_sales, ~fill_rate, policy_scale, ~baseline_fill_rate, ~fill_rate_degradation_vs_baseline, ~meets_service_guardrail"),
+    "cost_win_rate": ("wins", "model, ~cost_win_rate_vs_baseline, n_series"),
+    "series_router": ("router", "series_id, selected_model, ~selected_wape, ~baseline_wape, ~relative_improvement, n_validation_rows"),
+    "decision_router": ("decision", "series_id, selected_model, ~selected_wape, ~baseline_wape, ~relative_improvement, n_validation_rows, ~selected_cost, ~baseline_cost, ~relative_cost_improvement, routing_reason"),
+    "routed_forecast": ("routed", _F + ", routed_from_model"),
+    "routing_summary": ("routing", "selected_model, n_series, ~mean_validation_improvement, ~mean_validation_cost_improvement, ~fallback_rate"),
+    "scenario_paths": ("paths", "model, series_id, scenario, date_idx, horizon, ~demand, ~q10_forecast, ~median_forecast, ~q90_forecast, ~interval_scale"),
+    "scenario_diagnostics": ("path_scores", "n_scenarios, ~mean_lag1_correlation, negative_values, ~normalized_quantile_mae"),
+    "reconciled_scenarios": ("path_nodes", "model, scenario, date_idx, horizon, node_id, level, category, store, ~demand"),
+    "closed_loop_replay": ("replay", "policy, series_id, scenario_type, cycle, known_event, persistent_signal, stockout_streak, ~latent_demand, ~opening_inventory, ~observed_sales, ~recovered_demand, ~forecast, decision_eligible, is_review_period, ~target_inventory_position, ~arrivals, ~ending_inventory, ~order_qty, ~open_order_qty, stockout, ~lost_sales, ~cost"),
+    "closed_loop_summary": ("replay_summary", _REPLAY),
+    "closed_loop_slices": ("replay_slices", "policy, scenario_type, ~total_cost, ~lost_sales, ~fill_rate, ~stockout_rate, ~average_inventory"),
+    "closed_loop_slice_compare": ("replay_comparison", "scenario_type, ~baseline_cost, ~candidate_cost, ~relative_cost_regression, ~baseline_lost_sales, ~candidate_lost_sales, ~fill_rate_degradation, ~stockout_rate_degradation"),
+    "safety_sweep": ("sweep_summary", _REPLAY),
+    "mart_daily_demand": ("daily", "series_id, date_idx, category, store, ~sales, ~demand, stockout, promo, ~price, ~recovered_demand_mean, drat_state, ~drat_entropy, ~sql_lag_1, ~sql_roll_mean_7"),
+    "mart_inventory_kpi": ("kpi_mart", "model, series_id, evaluated_days, ~total_demand, ~total_sales, ~total_lost_sales, ~total_cost, ~average_inventory, ~stockout_rate, ~fill_rate"),
+}
+
+#: Ids, flags and counts have one type in both engines.
+_INTS = {"date_idx", "origin", "horizon", "stockout", "promo", "dow", "controlled_stockout", "draw", "future_dow", "future_promo", "scenario", "cycle", "known_event", "persistent_signal", "stockout_streak", "decision_eligible", "is_review_period", "min_date", "max_date"}
+_LONGS = {"n", "row_count", "series_count", "n_series", "n_slices", "n_scenarios", "negative_values", "evaluated_days", "n_validation_rows", "n_controlled", "duplicate_keys", "short_series", "broken_series", "unaligned_bounds", "missing_keys", "extra_keys", "broken_horizons"}
+
+
+def _columns(text: str) -> list[str]:
+    def one(c: str) -> str:
+        if c.startswith("~"):  # + 0 turns a negative zero into zero
+            return f"round(cast({c[1:]} as double), 6) + 0e0 as {c[1:]}"
+        kind = "int" if c in _INTS else "bigint" if c in _LONGS else "double" if c in ("policy_scale", "recovery_safety") else ""
+        return f"cast({c} as {kind}) as {c}" if kind else c
+
+    return [one(c.strip()) for c in text.split(",")]
+
+
+def _run(node: str, columns: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve(GRAPH, node, spark, sf_dir).selectExpr(*_columns(columns))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Panel -> contract -> controlled censoring -> recovery -> daily mart."""
+    panel.validate_panel(resolve(GRAPH, "priced", spark, sf_dir))
+    return _run(*OUTPUTS["mart_daily_demand"], spark, sf_dir)
 
 
-QUERIES: dict = {}
+QUERIES = {name: partial(_run, node, columns) for name, (node, columns) in OUTPUTS.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {name: oracle(GRAPH, node, f"select {', '.join(_columns(columns))} from n_{node}") for name, (node, columns) in OUTPUTS.items()}
+
+
+__all__ = ["GRAPH", "ORIGINS", "OUTPUTS", "QUERIES", "TABLES", "flagship", "oracles"]
