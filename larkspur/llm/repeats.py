@@ -10,7 +10,10 @@ the dictionary; the parse is the list of its occurrences.
   All but the first of a word are removed as a whole; most repeats end here, at one row per
   phrase instead of one per byte.
 * Words that share a trigger but differ can still share strings. Only these words, at
-  their first occurrence, are sorted suffix by suffix, to a depth of 100 bytes, by
+  their first occurrence, are cut into cells of CELL starts at fixed distances from the
+  trigger, and cells are sorted by (core, cell, document, start), where the core is what all
+  strings of a cell have in common: a core that occurs once ends the search.
+* Cells that share a core but differ are sorted suffix by suffix, to a depth of 100 bytes, by
   (string, document, start); all but the first of equal neighbours are removed.
 
 Corpus order is needed down to 100 bytes only and only to bring equal strings together, so
@@ -38,6 +41,7 @@ from . import scratch
 
 WIDTH = 100
 GRAM = 24
+CELL = 8
 #: Bytes of one text that are parsed at once, and rows that a task sorts before it sends them.
 PIECE, ROWS = 1 << 20, 150_000
 _NO_ID = 2**63 - 1
@@ -86,13 +90,13 @@ def _mixed(x):
 
 
 def parsed(data, hashes: _Hashes, width: int = WIDTH, gram: int = GRAM):
-    """(trigger, word, first, last) of the phrases of ``data``: the starts first..last of
-    strings of ``width`` bytes have one trigger."""
+    """(trigger, word, first, last, at) of the phrases of ``data``: the starts first..last of
+    strings of ``width`` bytes have one trigger, which stands at ``at``."""
     import numpy as np
 
     starts = len(data) - width + 1
     if starts <= 0:
-        return tuple(np.empty(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.empty(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     prefix = hashes.prefix(data)
     at = np.arange(len(data) - gram + 1)
     value = hashes.of(prefix, at, at + gram)
@@ -108,7 +112,7 @@ def parsed(data, hashes: _Hashes, width: int = WIDTH, gram: int = GRAM):
     trigger = trigger[first]
     word = hashes.of(prefix, first, last + width)
     word = _mixed(word + (trigger - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return value[trigger], word, first, last
+    return value[trigger], word, first, last, trigger
 
 
 def _documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,27 +125,41 @@ def _documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, rows.dropDuplicates(["did", "th"]) if again > 1 else rows
 
 
-_ROW = "k1 bigint, k2 bigint, did bigint, th bigint, first int, last int, kind int"
-_NAMES = ("k1", "k2", "did", "th", "first", "last", "kind")
+#: ``place`` holds, from its high bits, a first start, how many starts follow it (7 bits), the
+#: trigger's distance from the first (7 bits) and what is known (2 bits): it sorts by start.
+_ROW = "k1 bigint, k2 bigint, did bigint, th bigint, place bigint"
+_NAMES = ("k1", "k2", "did", "th", "place")
 SEEN, FIRST = 1, 2
 
 
+def _placed(first, last, distance, kind: int):
+    return first << 16 | (last - first) << 9 | distance << 2 | kind
+
+
+def _ranges(place):
+    """(first, last, distance) of packed places."""
+    first = place >> 16
+    return first, first + (place >> 9 & 127), place >> 2 & 127
+
+
 def _presorted(parts: list[tuple]):
-    """A batch of (k1, k2, did, th, first, last): FIRST for the first of equal keys, and SEEN
-    for the others, under keys that deal them out evenly."""
+    """A batch of (k1, k2, did, th, place): the first of equal keys as it is, and the others as
+    SEEN, under keys that deal them out evenly."""
     import numpy as np
     import pyarrow as pa
 
-    k1, k2, did, th, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((first, th, did, k2, k1))
-    k1, k2, did, th, first, last = (x[order] for x in (k1, k2, did, th, first, last))
+    k1, k2, did, th, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((place, th, did, k2, k1))
+    k1, k2, did, th, place = (x[order] for x in (k1, k2, did, th, place))
     seen = np.concatenate([[False], (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])])
-    k1[seen] = _mixed(did[seen].astype(np.uint64) + first[seen].astype(np.uint64)).astype(np.int64)
-    columns = (k1, k2, did, th, first.astype(np.int32), last.astype(np.int32), np.where(seen, SEEN, FIRST).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=list(_NAMES))
+    k1[seen] = _mixed((did[seen] + place[seen]).astype(np.uint64)).astype(np.int64)
+    place[seen] ^= SEEN ^ FIRST
+    k2[seen] = 0
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, did, th, place)], names=list(_NAMES))
 
 
 def _phrases(batches: Iterator) -> Iterator:
+    """Dictionary words at their occurrences; rows (did, th, data)."""
     import numpy as np
 
     hashes = _Hashes(1)
@@ -151,9 +169,9 @@ def _phrases(batches: Iterator) -> Iterator:
             for did, th, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = np.frombuffer(data.as_buffer(), dtype=np.uint8)
                 for at in range(0, max(0, len(data) - WIDTH + 1), PIECE):
-                    trigger, word, first, last = parsed(data[at : at + PIECE + WIDTH - 1], hashes)
+                    trigger, word, first, last, where = parsed(data[at : at + PIECE + WIDTH - 1], hashes)
                     n = len(first)
-                    parts.append((trigger.astype(np.int64), word.astype(np.int64), np.full(n, did), np.full(n, th), first + at, last + at))
+                    parts.append((trigger.astype(np.int64), word.astype(np.int64), np.full(n, did), np.full(n, th), _placed(first + at, last + at, where - first, FIRST)))
                     held += n
                     if held >= ROWS:
                         yield _presorted(parts)
@@ -162,74 +180,104 @@ def _phrases(batches: Iterator) -> Iterator:
             yield _presorted(parts)
 
 
-def _suffixes(batches: Iterator) -> Iterator:
-    """The strings at each start of the given ranges; rows (did, th, data, ranges)."""
+def _pieces(batches: Iterator) -> Iterator[tuple]:
+    """(did, th, start of the piece, its bytes, first, last, distance) of the listed ranges, of
+    rows (did, th, data, places); a piece reaches far enough for all strings of its ranges."""
+    import numpy as np
+
+    for batch in batches:
+        for did, th, data, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            data = np.frombuffer(data.as_buffer(), dtype=np.uint8)
+            first, last, distance = _ranges(np.sort(places.values.to_numpy(zero_copy_only=False)))
+            for at in range(0, len(data), PIECE):
+                lo, hi = np.searchsorted(first, [at, at + PIECE])
+                if hi > lo:
+                    yield did, th, at, data[at : at + PIECE + 3 * WIDTH], first[lo:hi] - at, last[lo:hi] - at, distance[lo:hi]
+
+
+def _spread(start, n):
+    """For each i, start[i], start[i] + 1, ... (n[i] of them), and i itself."""
+    import numpy as np
+
+    owner = np.repeat(np.arange(len(n)), n)
+    return start[owner] + np.arange(len(owner)) - (np.cumsum(n) - n)[owner], owner
+
+
+def _cells(batches: Iterator) -> Iterator:
     import numpy as np
 
     one, two = _Hashes(2), _Hashes(3)
     parts, held = [], 0
     with np.errstate(over="ignore"):
-        for batch in batches:
-            for did, th, data, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                data = np.frombuffer(data.as_buffer(), dtype=np.uint8)
-                first, last = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.values.flatten())
-                n = last - first + 1
-                starts = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                for at in range(0, len(data), PIECE):
-                    mine = starts[(starts >= at) & (starts < at + PIECE)] - at
-                    if len(mine):
-                        piece = data[at : at + PIECE + WIDTH]
-                        x, y = (h.of(h.prefix(piece), mine, mine + WIDTH) for h in (one, two))
-                        k = len(mine)
-                        parts.append((x.astype(np.int64), y.astype(np.int64), np.full(k, did), np.full(k, th), mine + at, mine + at))
-                        held += k
-                    if held >= ROWS:
-                        yield _presorted(parts)
-                        parts, held = [], 0
+        for did, th, at, data, first, last, distance in _pieces(batches):
+            trigger = first + distance
+            near, far = (trigger - last) // CELL, distance // CELL
+            cell, owner = _spread(near, far - near + 1)
+            trigger, first, last = trigger[owner], first[owner], last[owner]
+            lo, hi = np.maximum(first, trigger - CELL * cell - CELL + 1), np.minimum(last, trigger - CELL * cell)
+            core = one.of(one.prefix(data), trigger - CELL * cell, trigger - CELL * cell - CELL + 1 + WIDTH)
+            whole = _mixed(two.of(two.prefix(data), lo, hi + WIDTH) + ((trigger - lo) << 7 | (hi - lo)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            n = len(lo)
+            parts.append((core.astype(np.int64), whole.astype(np.int64), np.full(n, did), np.full(n, th), _placed(lo + at, hi + at, np.zeros(n, dtype=np.int64), FIRST)))
+            held += n
+            if held >= ROWS:
+                yield _presorted(parts)
+                parts, held = [], 0
+        if parts:
+            yield _presorted(parts)
+
+
+def _suffixes(batches: Iterator) -> Iterator:
+    import numpy as np
+
+    one, two = _Hashes(4), _Hashes(5)
+    parts, held = [], 0
+    with np.errstate(over="ignore"):
+        for did, th, at, data, first, last, _ in _pieces(batches):
+            start, _ = _spread(first, last - first + 1)
+            x, y = (h.of(h.prefix(data), start, start + WIDTH) for h in (one, two))
+            n = len(start)
+            parts.append((x.astype(np.int64), y.astype(np.int64), np.full(n, did), np.full(n, th), _placed(start + at, start + at, np.zeros(n, dtype=np.int64), FIRST)))
+            held += n
+            if held >= ROWS:
+                yield _presorted(parts)
+                parts, held = [], 0
         if parts:
             yield _presorted(parts)
 
 
 def _marked(batches: Iterator, shared: bool) -> Iterator:
-    """Rows in order of (k1, k2, did, th, first): SEEN for all but the first of (k1, k2), and,
-    if ``shared``, FIRST for the first ones of a k1 that has several k2."""
+    """Rows in order of (k1, k2, did, th, place): SEEN for all but the first of (k1, k2), and,
+    if ``shared``, the first ones of a k1 that has several k2 as they are."""
     import numpy as np
     import pyarrow as pa
 
     previous, waiting = None, None  # keys of the last row; the last first row, if alone in its k1 so far
 
-    def out(*parts):
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["did", "th", "first", "last", "kind"])
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        k1, k2, did, th, first, last, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in _NAMES)
-        rows = lambda m, kind: (did[m], th[m], first[m], last[m], np.full(int(m.sum()) if m.dtype == bool else len(m), kind, dtype=np.int32))
-        known = kind == SEEN
-        parts = [rows(known, SEEN)]
-        k1, k2, did, th, first, last = (x[~known] for x in (k1, k2, did, th, first, last))
+        k1, k2, did, th, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in _NAMES)
+        known = (place & 3) == SEEN
+        parts = [(did[known], th[known], place[known])]
+        k1, k2, did, th, place = (x[~known] for x in (k1, k2, did, th, place))
         if len(k1):
             p1, p2 = (np.concatenate([[x], y[:-1]]) for x, y in zip(previous or (0, 0), (k1, k2), strict=True))
             new1, new2 = k1 != p1, (k1 != p1) | (k2 != p2)
             if previous is None:
                 new1[0] = new2[0] = True
             previous = (k1[-1], k2[-1])
-            parts.append(rows(~new2, SEEN))
-            if shared:
-                heads = np.flatnonzero(new2)
-                if len(heads):
-                    alone = new1[heads]
-                    if waiting is not None and not alone[0]:
-                        parts.append(waiting)
-                    waiting = None
-                    both = ~alone
-                    both[:-1] |= alone[:-1] & ~alone[1:]
-                    parts.append(rows(heads[both], FIRST))
-                    if alone[-1]:
-                        waiting = rows(heads[-1:], FIRST)
-        yield out(*parts)
+            parts.append((did[~new2], th[~new2], place[~new2] ^ (SEEN ^ FIRST)))
+            heads = np.flatnonzero(new2)
+            if shared and len(heads):
+                alone = new1[heads]
+                if waiting is not None and not alone[0]:
+                    parts.append(waiting)
+                several = ~alone
+                several[:-1] |= alone[:-1] & ~alone[1:]
+                parts.append(tuple(x[heads[several]] for x in (did, th, place)))
+                waiting = tuple(x[heads[-1:]] for x in (did, th, place)) if alone[-1] else None
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["did", "th", "place"])
 
 
 def _removal(batches: Iterator) -> Iterator:
@@ -239,11 +287,11 @@ def _removal(batches: Iterator) -> Iterator:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
     for batch in batches:
         rows = []
-        for did, data, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        for did, data, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             data = np.frombuffer(data.as_buffer(), dtype=np.uint8)
             step = np.zeros(len(data) + 1, dtype=np.int64)
-            if ranges.is_valid:
-                first, last = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.values.flatten())
+            if places.is_valid:
+                first, last, _ = _ranges(places.values.to_numpy(zero_copy_only=False))
                 np.add.at(step, first, 1)
                 np.add.at(step, last + WIDTH, -1)
             gone = np.cumsum(step[:-1]) > 0
@@ -254,26 +302,30 @@ def _removal(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
 
-def _sorted_marks(rows: DataFrame, shared: bool, parts: int) -> DataFrame:
-    dealt = rows.repartition(parts, "k1").sortWithinPartitions("k1", "k2", "did", "th", "first")
-    return dealt.mapInArrow(lambda it: _marked(it, shared), "did bigint, th bigint, first int, last int, kind int")
-
-
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each document.
 
-    Texts are shuffled once, by document, and read by both joins.
+    Texts are shuffled once, by document, for all three joins; the shuffled rows of a sort are
+    read again rather than kept where two steps need them.
     """
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    data, once = _documents(docs)
-    marks = scratch.materialize(_sorted_marks(once.mapInArrow(_phrases, _ROW), True, parts), "marks")
-    listed = F.collect_list(F.struct("first", "last")).alias("ranges")
-    open_words = marks.where(f"kind = {FIRST}").groupBy("did", "th").agg(listed)
-    suffixes = once.join(open_words, ["did", "th"]).select("did", "th", "data", "ranges").mapInArrow(_suffixes, _ROW)
-    more = _sorted_marks(suffixes, False, parts)
-    seen = marks.where(f"kind = {SEEN}").select("did", "th", "first", "last").unionByName(more.select("did", "th", "first", "last"))
-    ranges = seen.groupBy("did", "th").agg(listed)
-    return data.join(ranges, ["did", "th"], "left").select("did", "data", "ranges").mapInArrow(
+    every, data = _documents(docs)
+
+    def marks(rows: DataFrame, shared: bool) -> DataFrame:
+        dealt = rows.repartition(parts, "k1").sortWithinPartitions(*_NAMES)
+        return dealt.mapInArrow(lambda it: _marked(it, shared), "did bigint, th bigint, place bigint")
+
+    def listed(found: DataFrame) -> DataFrame:
+        return found.groupBy("did", "th").agg(F.collect_list("place").alias("places"))
+
+    def undecided(found: DataFrame) -> DataFrame:
+        return data.join(listed(found.where(f"place & 3 = {FIRST}")), ["did", "th"]).select("did", "th", "data", "places")
+
+    words = scratch.materialize(marks(data.mapInArrow(_phrases, _ROW), True), "words")
+    cells = marks(undecided(words).mapInArrow(_cells, _ROW), True)
+    suffixes = marks(undecided(cells).mapInArrow(_suffixes, _ROW), False)
+    seen = words.unionByName(cells).where(f"place & 3 = {SEEN}").unionByName(suffixes)
+    return every.join(listed(seen), ["did", "th"], "left").select("did", "data", "places").mapInArrow(
         _removal, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start: bigint, end: bigint>>"
     )
 

@@ -35,6 +35,9 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: one computation, no lineage."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path, **options)
+    # What the driver's garbage collector finds unreachable, Spark's cleaner removes from the
+    # executors: the shuffle files behind this table need not outlive it.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
