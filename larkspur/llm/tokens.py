@@ -1,17 +1,19 @@
 """Token ids by the public tokenizers of the ``tokenizers`` library, memoised by chunk.
 
 ``word_bpe_49k`` drops white space and never merges across it, so the ids of a text are
-those of its space-separated chunks, one after the other. Distinct chunks are far fewer
-than chunks: each is encoded once per Python worker and then looked up.
+those of its space-separated chunks, one after the other. Chunks, and below them words in
+lower case without the punctuation behind, are encoded once per Python worker and then
+looked up; a memo keeps what was used in its last two generations.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable
 
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks that one worker remembers before it starts afresh, and bytes of the longest one.
-MEMO_ROWS, MEMO_BYTES = 200_000, 64
+#: Chunks and words of one generation of a worker's memo, and bytes of the longest chunk in it.
+MEMO_CHUNKS, MEMO_WORDS, MEMO_BYTES = 150_000, 300_000, 64
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -28,31 +30,66 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+class _Memo:
+    """A dictionary of two generations: when the new one is full, the old one is forgotten."""
+
+    def __init__(self, rows: int):
+        self.rows, self.new, self.old = rows, {}, {}
+
+    def get(self, key):
+        found = self.old.get(key)
+        return None if found is None else self.put(key, found)
+
+    def put(self, key, value: bytes) -> bytes:
+        if len(self.new) >= self.rows:
+            self.old = dict(self.new)
+            self.new.clear()  # in place: callers look into it directly
+        self.new[key] = value
+        return value
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
+        self._chunks, self._words = _Memo(MEMO_CHUNKS), _Memo(MEMO_WORDS)
 
-    def _ids(self, chunk: bytes) -> bytes:
+    def _ids(self, text: str) -> bytes:
         import numpy as np
 
-        return np.array(self._tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _part(self, text: str) -> bytes:
+        words = self._words
+        return words.new.get(text) or words.get(text) or words.put(text, self._ids(text))
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        """The tokenizer lower-cases and parts letters from punctuation, so a word of plain
+        letters and what follows it can be encoded apart. Others are encoded whole."""
+        text = chunk.decode("utf-8")
+        word = text.rstrip(string.punctuation)
+        if len(chunk) <= MEMO_BYTES and word.isalpha() and max(word) < "\u0130":
+            end = text[len(word) :]
+            return self._part(word.lower()) + (self._part(end) if end else b"")
+        return self._ids(text)
 
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         return [self._one(t) for t in texts]
 
     def _one(self, text: bytes | None) -> bytes:
-        known, out = self._known, []
-        for chunk in (text or b"").split():
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._ids(chunk)
-                if len(chunk) <= MEMO_BYTES:
-                    if len(known) >= MEMO_ROWS:
-                        known.clear()
-                    known[chunk] = ids
-            out.append(ids)
+        chunks = self._chunks
+        parts = (text or b"").split()
+        out = list(map(chunks.new.get, parts))
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None:
+                    chunk = parts[k]
+                    ids = chunks.new.get(chunk) or chunks.get(chunk)
+                    if ids is None:
+                        ids = self._chunk(chunk)
+                        if len(chunk) <= MEMO_BYTES:
+                            chunks.put(chunk, ids)
+                    out[k] = ids
         return b"".join(out)
