@@ -62,15 +62,16 @@ def with_measures(docs: DataFrame) -> DataFrame:
         F.expr(f"filter(split({t}, '\\\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("_q_lines"),
         F.expr(f"cast(regexp_count({t}, '[#*$%&|<>]') as bigint)").alias("_q_n_symbols"),
     )
-    counted = parts.select(
-        *own,
-        F.expr("cast(size(_q_words) as bigint)").alias("_q_n_words"),
-        F.expr("cast(length(array_join(_q_words, '')) as bigint)").alias("_q_word_chars"),
-        "_q_n_symbols",
-        F.expr("cast(size(_q_lines) as bigint)").alias("_q_n_lines"),
-        F.expr("cast(size(_q_lines) - size(array_distinct(_q_lines)) as bigint)").alias("_q_n_dup_lines"),
-        F.expr(_REPEATS).alias("_q_n_repeat_words"),
-    )
+    # A generator's columns are computed once: no filter above is rewritten into these expressions.
+    counts = ", ".join(f"{x} as _q_{c}" for c, x in (
+        ("n_words", "cast(size(_q_words) as bigint)"),
+        ("word_chars", "cast(length(array_join(_q_words, '')) as bigint)"),
+        ("n_symbols", "_q_n_symbols"),
+        ("n_lines", "cast(size(_q_lines) as bigint)"),
+        ("n_dup_lines", "cast(size(_q_lines) - size(array_distinct(_q_lines)) as bigint)"),
+        ("n_repeat_words", _REPEATS),
+    ))
+    counted = parts.select(*own, F.expr(f"inline(array(struct({counts})))"))
     return counted.select(
         *own,
         *[f"_q_{c}" for c in COUNTS],
