@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.operators import censoring, closed_loop, evaluation, features, forecasting, lifecycle, panel, simulation
+from larkspur.operators.quantile_boosting import direct_quantile_forecast
 
 from .steps import TABLES, Node, oracle, resolve
 
@@ -181,6 +182,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {name: partial(_run, node, columns) for name, (node, columns) in OUTPUTS.items()}
 
 
+def direct_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees at the test origin; no SQL can state them, tests hold them against the baseline."""
+    return direct_quantile_forecast(resolve(GRAPH, "featured", spark, sf_dir), TEST, HORIZON, max_rows=20_000)
+
+
+QUERIES["direct_quantile_forecast"] = direct_quantile
+
+
 def oracles() -> dict[str, str]:
     return {name: oracle(GRAPH, node, f"select {', '.join(_columns(columns))} from n_{node}") for name, (node, columns) in OUTPUTS.items()}
 

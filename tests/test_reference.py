@@ -141,3 +141,20 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/t").count() == 5 and len(sinks.sha256_of(tmp_path / "t")) == 64
     with pytest.raises(FileNotFoundError):
         sinks.publish(tmp_path / "none", tmp_path / "t")
+
+
+def test_boosted_quantiles(spark):
+    """Ordered, complete, and at a quantile's loss no worse than a constant's."""
+    import numpy as np
+
+    from larkspur.operators.quantile_boosting import QuantileTrees
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 4))
+    y = 3 * (x[:, 0] > 0) + rng.exponential(size=1500)
+    for q in (0.1, 0.5, 0.9):
+        p = QuantileTrees(q, 60).fit(x[:1000], y[:1000]).predict(x[1000:])
+        loss = lambda p, q=q: np.maximum(q * (y[1000:] - p), (q - 1) * (y[1000:] - p)).mean()
+        assert loss(p) < 0.8 * loss(np.quantile(y[:1000], q)) and abs((y[1000:] <= p).mean() - q) < 0.08
+    rows = catalogue.QUERIES["direct_quantile_forecast"](spark, SF).collect()
+    assert len(rows) == 50 * 14 and all(0 <= r.q10 <= r.q50 <= r.q90 for r in rows)
