@@ -158,3 +158,24 @@ def test_boosted_quantiles(spark):
         assert loss(p) < 0.8 * loss(np.quantile(y[:1000], q)) and abs((y[1000:] <= p).mean() - q) < 0.08
     rows = catalogue.QUERIES["direct_quantile_forecast"](spark, SF).collect()
     assert len(rows) == 50 * 14 and all(0 <= r.q10 <= r.q50 <= r.q90 for r in rows)
+
+
+def test_foundation_frames(spark):
+    import datetime
+
+    from larkspur.operators import foundation
+
+    df = make_panel(spark, {s: range(60) for s in "abcd"})
+    past, ahead = foundation.context_frame(df, 50, "sales"), foundation.future_frame(df, 50, 7)
+    assert ahead.count() == 28 and past.agg({"timestamp": "max"}).first()[0] == datetime.date(2000, 2, 20)
+    assert ahead.agg({"timestamp": "min"}).first()[0] == datetime.date(2000, 2, 21)
+    assert all(len(r.target) == 51 for r in foundation.training_inputs(df, 50, "sales").collect())
+    assert foundation.future_frame(df, 59, 7).count() == 28  # nothing known: last values go on
+    with pytest.raises(ValueError):
+        foundation.future_frame(df, 56, 7)
+
+    def predict(context, future):
+        return future.assign(q10=1.0, q50=float(context.target.iloc[-1]), q90=99.0)[["timestamp", "q10", "q50", "q90"]]
+
+    rows = foundation.forecast_with(df, 50, 7, predict, "mock", "sales").collect()
+    assert len(rows) == 28 and all(r.q50 == 50.0 and r.date_idx == 50 + r.horizon for r in rows)
