@@ -12,8 +12,10 @@
    but rules out the threshold (by 15 in its logarithm) are dropped, the others verified on
    their full sets, and linked ones joined into components.
 5. Then buckets that still hold several components are compared, block by block and between
-   components only: what passes the likelihood is verified as before. So no bucket emits
-   its pairs, a large group of near copies costs one link each, and no link is lost.
+   components only. FORESTS times, a block offers just the pairs of a spanning forest, those
+   with most equal registers first, which joins near copies of one original to it; a
+   last time all pairs that the likelihood leaves. What is offered is verified as before. So a
+   large group of near copies costs a few links each, and no link is lost.
 
 Defined results: a text with fewer words than a shingle is one shingle; a null or wordless
 one has an empty set and is linked with nothing; repeated rows are copies; rows that share
@@ -36,6 +38,7 @@ BASE = 1.02
 MISS = 1e-6
 #: Classes of one bucket that are compared at once, and ids that may be broadcast.
 BLOCK = 512
+FORESTS = 2
 BROADCAST_IDS = 1_000_000
 
 
@@ -142,8 +145,9 @@ def _counted(batches, m: int, percent: int):
             yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
 
-def _compared(batches, m: int, rows: int, percent: int):
-    """Pairs (a, b) between components, of rows sorted by (key, lo, hi)."""
+def _compared(batches, m: int, rows: int, percent: int, forest: bool):
+    """Pairs (a, b) between components, of rows sorted by (key, lo, hi): all that are likely, or
+    a spanning forest of them in each block."""
     import numpy as np
     import pyarrow as pa
 
@@ -151,18 +155,34 @@ def _compared(batches, m: int, rows: int, percent: int):
         rep, comp, n, band, block, lo, hi = (np.array(columns[c]) for c in ("rep", "comp", "n", "band", "block", "lo", "hi"))
         regs = np.frombuffer(b"".join(columns["regs"]), dtype="<u2").reshape(-1, m)
         keys = regs.reshape(len(regs), -1, rows)
+        found = []
         for i in range(len(rep) - 1):
             j = np.arange(i + 1, len(rep))
             ok = (comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
             if lo[0] != hi[0]:  # two blocks: only pairs across
                 ok &= block[j] != block[i]
             j = j[ok]
-            if len(j):
+            if len(j) and not forest:
                 same = (keys[j] == keys[i]).all(axis=2)
                 j = j[same.argmax(axis=1) == band[0]]  # in the first band that they share
             if len(j):
-                j = j[likely((regs[i] > regs[j]).sum(axis=1), (regs[i] < regs[j]).sum(axis=1), np.full(len(j), n[i], float), n[j].astype(float), m, percent)]
-                yield from zip(np.minimum(rep[i], rep[j]).tolist(), np.maximum(rep[i], rep[j]).tolist(), strict=True)
+                more, less = (regs[i] > regs[j]).sum(axis=1), (regs[i] < regs[j]).sum(axis=1)
+                keep = likely(more, less, np.full(len(j), n[i], float), n[j].astype(float), m, percent)
+                found += zip((more + less)[keep].tolist(), [i] * int(keep.sum()), j[keep].tolist(), strict=True)
+        joined: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        for _, i, j in sorted(found) if forest else found:
+            if forest:
+                x, y = top(int(comp[i])), top(int(comp[j]))
+                if x == y:
+                    continue
+                joined[max(x, y)] = min(x, y)
+            yield int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))
 
     held, current = None, None
     names = ("rep", "comp", "n", "band", "block", "lo", "hi", "regs")
@@ -243,25 +263,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sized = star.join(classes.selectExpr("rep as a", "n as n_a", "regs as regs_a"), "a").join(classes.selectExpr("rep as b", "n as n_b", "regs as regs_b"), "b")
     first = scratch.materialize(sized.mapInArrow(lambda it: _counted(it, m, percent), "a bigint, b bigint"), "pairs")
     links = verified(docs, first, k, percent)
-    known = graph.components(links)
-
-    # Second round: buckets that still hold several components, between these.
-    own = shared.join(known.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("key", "band", "rep", "coalesce(component, rep) as comp", "c")
-    own = scratch.materialize(own, "own")
-    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    blocks = (
-        own.join(mixed, "key").join(classes, "rep")
-        .selectExpr("*", f"cast(ceil(c / {BLOCK}D) as int) as blocks")
-        .selectExpr("*", "cast(pmod(xxhash64(rep), blocks) as int) as block")
-        .selectExpr("*", "explode(sequence(0, blocks - 1)) as other")
-        .selectExpr("key", "least(block, other) as lo", "greatest(block, other) as hi", "band", "block", "rep", "comp", "n", "regs")
-    )
+    known, tried = graph.components(links), first
+
+    # Further rounds: buckets that still hold several components, between these.
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = blocks.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    second = scratch.materialize(spread.mapInArrow(lambda it: _compared(it, m, ROWS, percent), "a bigint, b bigint").distinct(), "pairs")
-    second = second.join(links, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti")
-    more = verified(docs, scratch.materialize(second, "pairs"), k, percent)
-    known = graph.components(links.unionByName(more))
+    for forest in [True] * FORESTS + [False]:
+        own = shared.join(known.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("key", "band", "rep", "coalesce(component, rep) as comp", "c")
+        own = scratch.materialize(own, "own")
+        several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+        blocks = (
+            own.join(several, "key").join(classes, "rep")
+            .selectExpr("*", f"cast(ceil(c / {BLOCK}D) as int) as blocks")
+            .selectExpr("*", "cast(pmod(xxhash64(rep), blocks) as int) as block")
+            .selectExpr("*", "explode(sequence(0, blocks - 1)) as other")
+            .selectExpr("key", "least(block, other) as lo", "greatest(block, other) as hi", "band", "block", "rep", "comp", "n", "regs")
+        )
+        spread = blocks.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        offered = spread.mapInArrow(lambda it, forest=forest: _compared(it, m, ROWS, percent, forest), "a bigint, b bigint").distinct()
+        fresh = scratch.materialize(offered.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            continue
+        links = links.unionByName(verified(docs, fresh, k, percent))
+        tried = tried.unionByName(fresh)
+        known = graph.components(links)
     named = reps.join(known.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("k1", "k2", "coalesce(component, rep) as component")
     return sketch.join(named, ["k1", "k2"], "left").selectExpr(
         "doc_id", "n as n_shingles", "if(n > 0, component, doc_id) as component_id",
@@ -269,5 +293,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
 
 
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, each once. A list of up to
+    BROADCAST_IDS ids is sent to the rows; beyond, rows are shuffled by id."""
+    found = scratch.materialize(near_duplicates(docs, k, percent), "components")
+    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    kept = found.where("kept").select(F.col("doc_id").alias("_d_id")).distinct()
+    few = kept.count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(kept) if few else kept, F.expr("doc_id <=> _d_id"), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"]) if again else rows
+
+
 def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
