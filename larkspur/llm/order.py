@@ -99,14 +99,16 @@ def write_shards(docs: DataFrame, folder: str, path: str, key: int = KEY, length
     source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, rows = 0, []
+        import zstandard
+
+        k, rows, pack = 0, [], zstandard.ZstdCompressor(level=1).compress
 
         def batch() -> pa.RecordBatch:
             columns = [pa.array(range(k - len(rows), k), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True))]
             return pa.RecordBatch.from_arrays(columns, names=["k", "doc_id", "n_ids", "ids"])
 
         for row in _sequences(batches, path, length, end, pad):
-            rows.append(row)
+            rows.append((*row[:2], pack(row[2])))  # smaller on disk and in the shuffle
             k += 1
             if len(rows) == 1024:
                 yield batch()
@@ -114,7 +116,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, key: int = KEY, length
         if rows:
             yield batch()
 
-    sequences = scratch.materialize(source.mapInArrow(cut, "k bigint, doc_id bigint, n_ids int, ids binary").withColumn("part", F.spark_partition_id()), "sequences", compression="zstd")
+    sequences = scratch.materialize(source.mapInArrow(cut, "k bigint, doc_id bigint, n_ids int, ids binary").withColumn("part", F.spark_partition_id()), "sequences", compression="none")
     # One row per input partition, as the driver holds for its tasks anyway.
     base, total = {}, 0
     for part, n in sorted((r[0], r[1]) for r in sequences.groupBy("part").count().collect()):
@@ -132,12 +134,14 @@ def write_shards(docs: DataFrame, folder: str, path: str, key: int = KEY, length
 
     def write(table: pa.Table) -> pa.Table:
         import pyarrow.parquet as pq
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         table = table.sort_by("slot")
         fs, top = _fs(folder)
         shard, n = table.column("shard")[0].as_py(), table.num_rows
         name = f"{top}/shard-{shard:09d}"
-        for suffix, put in ((".idx", lambda out: pq.write_table(table.select(["slot", "sequence", "doc_id", "n_ids"]), out)), (".bin", lambda out: [out.write(x.as_buffer()) for x in table.column("ids")])):
+        for suffix, put in ((".idx", lambda out: pq.write_table(table.select(["slot", "sequence", "doc_id", "n_ids"]), out)), (".bin", lambda out: [out.write(unpack(x.as_py())) for x in table.column("ids")])):
             there = fs.get_file_info(name + suffix)
             if suffix == ".bin" and there.is_file and there.size == n * 2 * length:
                 continue
