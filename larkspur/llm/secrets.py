@@ -39,7 +39,11 @@ DICTIONARY = (
 KEY_WORDS = "secret|token|passw|pwd|api|auth|credential|bearer|private|key"
 BENIGN_WORDS = "sha|md5|commit|checksum|digest|hash|uuid|isbn|etag|revision|phone|card|account|order|invoice|tracking|serial|version"
 PLACEHOLDERS = "example|sample|dummy|placeholder|changeme|your|fake|xxxx|0000|1234567"
-FEATURES = ("length", "runs", "digits", "upper", "hex", "distinct", "coverage", "path", "key_word", "assigned", "placeholder", "benign", "separators")
+#: How issued tokens begin, in lower case.
+PREFIXES = "akia|asia|gh[opsu]_|github_pat_|sk_live_|sk_test_|xox[abeprs]-|glpat-|aiza|eyj"
+#: Frequent pairs of letters: names and paths are made of them, random characters are not.
+PAIRS = "th|he|an|er|in|on|re|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce"
+FEATURES = ("length", "runs", "digits", "upper", "hex", "distinct", "coverage", "path", "key_word", "assigned", "placeholder", "benign", "separators", "prefix", "pairs")
 
 
 def _features(c: str, before: str, after: str) -> list[str]:
@@ -61,11 +65,22 @@ def _features(c: str, before: str, after: str) -> list[str]:
         f"if(lower({c}) rlike '({PLACEHOLDERS})' or {beside} rlike '(example|sample|dummy|placeholder|changeme|fake)', 1D, 0D)",
         f"if(lower({before}) rlike '({BENIGN_WORDS})[^=]*$', 1D, 0D)",
         share("_./+\\\\-"),
+        f"if(lower({c}) rlike '^({PREFIXES})', 1D, 0D)",
+        f"1D - length(regexp_replace(lower({c}), '{PAIRS}', '')) / length({c})",
     ]
 
 
+#: What stands before secrets: half of them with a key word, half without.
+BESIDE_KEY_WORD = ("token = \"", "api_key: ", "secret='", "password=", "Authorization: Bearer ", "private_key = ", "auth: \"", "TOKEN = \"", "credential := ", "?token=", "-----BEGIN RSA PRIVATE KEY-----\n")
+WITHOUT_KEY_WORD = ("", "", " ", " ", "\n", "- ", "* ", "| ", "1. ", "(", "\"", "'", "use ", "id: ", "aws access id: ", "DATABASE_URL = \"", "value: \"", "x = '", "export AWS=", "?id=", "&sig=", "https:", "Set-Cookie: sid=")
+
+
 def labelled_findings(n: int = 2000, seed: int = 1) -> list[tuple[str, str, str, float]]:
-    """``n`` made findings (before, candidate, after, label), half of them secrets."""
+    """``n`` made findings (before, candidate, after, label), half of them secrets.
+
+    A key word stands before half of the secrets and before a quarter of what is harmless,
+    so that it is evidence but not the answer.
+    """
     rng = random.Random(seed)
     low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
@@ -75,7 +90,7 @@ def labelled_findings(n: int = 2000, seed: int = 1) -> list[tuple[str, str, str,
     any_case = low + low.upper() + digits
 
     def secret() -> str:
-        kind = rng.randrange(6)
+        kind = rng.randrange(8)
         s = [
             lambda: pick("0123456789abcdef", rng.choice((32, 40, 40, 48, 64))),
             lambda: pick(any_case + "+/", rng.choice((32, 40, 44))),
@@ -83,8 +98,10 @@ def labelled_findings(n: int = 2000, seed: int = 1) -> list[tuple[str, str, str,
             lambda: rng.choice(("ghp_", "sk_live_", "xoxb-", "glpat-")) + pick(any_case, rng.randint(24, 40)),
             lambda: pick(any_case, rng.randint(20, 36)),
             lambda: pick(any_case + "_-", rng.randint(24, 48)),
+            lambda: f"eyJ{pick(any_case, rng.randint(16, 34))}.eyJ{pick(any_case + '_-', rng.randint(30, 120))}.{pick(any_case + '_-', 43)}",
+            lambda: pick(any_case + "+/", 64),
         ][kind]()
-        return s if re.search("[0-9]", s) else s + "7"
+        return s if re.search("[0-9]", s) else s[:-1] + "7"
 
     def harmless() -> tuple[str, str]:
         k = rng.randrange(9)
@@ -109,13 +126,16 @@ def labelled_findings(n: int = 2000, seed: int = 1) -> list[tuple[str, str, str,
     out = []
     for i in range(n):
         if i % 2:
-            before, c, label = rng.choice(("token = \"", "api_key: ", "secret='", "password=", "Authorization: Bearer ", "private_key = ", "auth: \"", "TOKEN = \"", "credential := ")), secret(), 1.0
+            before, c, label = rng.choice(BESIDE_KEY_WORD if rng.random() < 0.5 else WITHOUT_KEY_WORD), secret(), 1.0
+            before = f"{words(rng.randint(1, 6))} {before}" if rng.random() < 0.85 else before
         else:
             (before, c), label = harmless(), 0.0
-        before = f"{words(rng.randint(1, 6))} {before.lstrip() if label else before}"
+            if rng.random() < 0.25:
+                before = rng.choice((" token", " api", " secret", " the password", " auth", " private", " key", " credentials:", " api_key =", " token:")) + before
+            before = f"{words(rng.randint(1, 6))} {before}" if rng.random() < 0.9 else before.lstrip()
         if rng.random() < 0.15:
             before, c = before.upper(), c.upper()
-        out.append((before[-CONTEXT:], c, rng.choice(("\" ", "' ", " ", "\n", ". ")) + words(3), label))
+        out.append((before[-CONTEXT:], c, rng.choice(("\" ", "' ", " ", "\n", ". ", "")) + words(3), label))
     return out
 
 

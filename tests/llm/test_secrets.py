@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import pytest
 
@@ -54,3 +56,32 @@ def test_redaction(spark, votes):
     assert (got[2].text, got[3].text, got[6].text, got[6].n_chars) == (None, "", rows[5][1], 48)
     assert token not in got[5].text and got[5].text.startswith("word word") and got[5].text.endswith(" word")
     assert out.count() == 7 and secrets.scan(docs.limit(0), votes).count() == 0
+
+
+def test_tokens_without_a_key_word(spark, votes):
+    """Tokens of each kind are found by their own shape; digests, ids and paths beside a key word are not."""
+    rng = random.Random(5)
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    alnum = string.ascii_letters + string.digits
+    kinds = {
+        "aws": lambda: "AKIA" + pick(string.ascii_uppercase, 15) + pick(string.digits, 1),
+        "github": lambda: "ghp_1" + pick(alnum, 35),
+        "hex": lambda: pick("0123456789abcdef", 39) + "1",
+        "base64": lambda: pick(alnum + "+/", 39) + "1",
+    }
+    places = ('token = "', "we met on the bridge and left ", "aws access id: ", 'DATABASE_URL = "', "| ", "\n- ", "")
+    rows = [(k, p, f"{places[p]}{kinds[k]()}") for k in kinds for p in range(len(places)) for _ in range(60)]
+    rows += [("harmless", p, t) for p, t in enumerate((
+        "the secret uuid 3f2b8c1d-9a4e-4c77-8b1f-0d9e5a6c7b21", "token commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", "the api is in /usr/share/doc/report2.html",
+        "the private key file /home/user/static/images/index1.html", "password card 9807915762804490",
+    ))]
+    docs = spark.createDataFrame([(i, t, k, p) for i, (k, p, t) in enumerate(rows)], "doc_id bigint, text string, kind string, place int")
+    found = {r.doc_id for r in secrets.scan(docs, votes).collect() if r.secret}
+    for k in kinds:
+        for p in range(len(places)):
+            of = [i for i, r in enumerate(rows) if r[:2] == (k, p)]
+            assert len(found.intersection(of)) >= 0.95 * len(of), (k, places[p], len(found.intersection(of)))
+    assert [r[2] for i, r in enumerate(rows) if r[0] == "harmless" and i in found] == []
+    alone = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    out = secrets.redact(spark.createDataFrame([(4, alone, 40, "x")], "doc_id bigint, text string, n_chars bigint, c string"), votes).first()
+    assert out.text == secrets.MARK and out.n_chars == len(secrets.MARK)
