@@ -3,10 +3,12 @@
 Hosts are linked by the absolute links in their pages. Trust is a personalised PageRank
 from trusted hosts along links; distrust is one from blocked hosts against the links (who
 links to a blocked host is suspect). A host without a rule is blocked where its distrust
-is over ``least`` and over its trust.
+is over ``least`` and over its trust, both in parts of what one seed of its kind starts
+with: how many other seeds there are changes no verdict.
 
 Scores are integers in units of 10^-12 and shares are cut by integer division, so results
-do not depend on the order of sums. A link's weight is the number of pages that hold it.
+do not depend on the order of sums. The columns trust and distrust are scores of seeds that
+share one unit. A link's weight is the number of pages that hold it.
 Edges are aggregated per pair of hosts before any join; a popular host is one row per
 linking host, which adaptive skew joins can split.
 
@@ -28,6 +30,7 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 UNIT = 10**12
 DAMPING = (85, 100)
 ROUNDS = 8
+#: Of what one seed starts with.
 LEAST = UNIT // 10**6
 
 
@@ -66,24 +69,25 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, src: str, dst: str, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): personalised PageRank over (src, dst, w) from ``seeds`` (host).
+    """(host, score, part): personalised PageRank over (src, dst, w) from ``seeds`` (host).
 
-    The seeds share the unit; a host hands on its score in proportion to w, and what a
-    host without links would hand on is lost, which lowers all scores alike.
+    Each seed starts with the unit; a host hands on its score in proportion to w, and what a
+    host without links would hand on is lost, which lowers all scores alike. ``part`` is the
+    score where the seeds share one unit.
     """
     up, down = DAMPING
     out = edges.groupBy(src).agg(F.sum("w").alias("out"))
     flow = scratch.materialize(edges.join(out, src).select(F.col(src).alias("a"), F.col(dst).alias("b"), "w", "out"), "flow")
-    n = max(seeds.count(), 1)
-    base = scratch.materialize(seeds.select("host", F.lit(UNIT // n).alias("score")), "seeds")
+    base = scratch.materialize(seeds.select("host", F.lit(UNIT).cast("bigint").alias("score")), "seeds")
+    share = UNIT // max(base.count(), 1)
     start = base.select("host", F.expr(f"score * {down - up} div {down}").alias("score"))
     rank = base
     for k in range(rounds):
-        moved = flow.join(rank, F.col("a") == F.col("host")).select(F.col("b").alias("host"), F.expr(f"(score * {up} div {down}) * w div out").alias("score"))
+        moved = flow.join(rank, F.col("a") == F.col("host")).select(F.col("b").alias("host"), F.expr(f"cast(cast(score as decimal(20)) * {up} div {down} as decimal(20)) * w div out").alias("score"))
         rank = moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
         if k % 4 == 3:
             rank = scratch.materialize(rank, "rank")
-    return rank
+    return rank.selectExpr("host", "score", f"cast(score as decimal(20)) * {share}L div {UNIT}L as part")
 
 
 def verdicts(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, least: int = LEAST) -> DataFrame:
@@ -99,12 +103,12 @@ def verdicts(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, least
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block")
     )
     edges = scratch.materialize(host_edges(pages), "edges")
-    trust = propagated(edges, votes.where("2 * allow > n").select("host"), "src", "dst", rounds).withColumnsRenamed({"host": "t_host", "score": "trust"})
-    distrust = propagated(edges, votes.where("2 * block > n").select("host"), "dst", "src", rounds).withColumnsRenamed({"host": "d_host", "score": "distrust"})
+    trust = propagated(edges, votes.where("2 * allow > n").select("host"), "src", "dst", rounds).withColumnsRenamed({"host": "t_host", "score": "t_score", "part": "trust"})
+    distrust = propagated(edges, votes.where("2 * block > n").select("host"), "dst", "src", rounds).withColumnsRenamed({"host": "d_host", "score": "d_score", "part": "distrust"})
     scored = where.join(trust, F.expr("host = t_host"), "left").join(distrust, F.expr("host = d_host"), "left")
     return scored.selectExpr(
         "page_id", "host", "path", "rule", "coalesce(trust, 0L) as trust", "coalesce(distrust, 0L) as distrust",
-        f"coalesce(ruled, if(host != '' and coalesce(distrust, 0L) > {least} and coalesce(distrust, 0L) > coalesce(trust, 0L), 'block', 'allow')) as verdict",
+        f"coalesce(ruled, if(host != '' and coalesce(d_score, 0L) > {least} and coalesce(d_score, 0L) > coalesce(t_score, 0L), 'block', 'allow')) as verdict",
     )
 
 

@@ -92,6 +92,20 @@ def test_trust_follows_links_and_distrust_goes_against_them(spark):
     assert urls.verdicts(pages.limit(0)).count() == 0
 
 
+def test_unrelated_blocked_hosts_change_no_verdict(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
+    rows = [(1, "http://bad.net/es/1", ""), (2, "http://bad.net/es/2", ""), (3, "http://bad.net/en/", ""), (4, "http://suspect.org/", link("bad.net", "friend.org")), (5, "http://alone.org/", "")]
+    rows += [(10 + i, f"http://p{i}.org/", link("bad.net")) for i in range(25)]
+    rows += [(50, "http://good.com/", link("torn.org")), (51, "http://torn.org/", link("bad2.net")), (52, "http://bad2.net/es/", "")]
+    shape = "page_id bigint, url string, html string"
+    few = spark.createDataFrame(rows, shape)
+    others = spark.range(200_000).selectExpr("id + 1000 as page_id", "concat('http://u', id, '.net/es/') as url", "'' as html")
+    want = {r.page_id: r.verdict for r in urls.verdicts(few).collect()}
+    got = {r.page_id: r.verdict for r in urls.verdicts(few.unionByName(others)).where("page_id < 1000").collect()}
+    assert got == want
+    assert want[3] == want[4] == want[10] == "block" and want[5] == "allow"
+
+
 def test_archives_round_trip(spark):
     big = "x" * 3_000_000
     rows = [(3, "http://a/\r\nb", "same", 0), (1, None, "same", 0), (2, "u", "", 0), (4, "u", None, 0), (5, "u", big, 0), (6, "u", "WARC/1.1\r\n\r\nContent-Length: 9\r\n\r\n", 0), (None, "u", "same", 0), (1, None, "same", 0)]
