@@ -29,9 +29,14 @@ from . import scratch
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 UNIT = 10**12
 DAMPING = (85, 100)
+#: Rounds of the SQL form only, which does not look at convergence.
 ROUNDS = 8
 #: Of what one seed starts with.
 LEAST = UNIT // 10**6
+#: What all scores together may still be short of when the rounds end.
+UNSETTLED = LEAST // 100
+#: Rounds between two looks at the sum of scores.
+STRIDE = 4
 
 
 def _host(url: str) -> str:
@@ -68,12 +73,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, src: str, dst: str, rounds: int = ROUNDS) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, src: str, dst: str, unsettled: int = UNSETTLED) -> DataFrame:
     """(host, score, part): personalised PageRank over (src, dst, w) from ``seeds`` (host).
 
     Each seed starts with the unit; a host hands on its score in proportion to w, and what a
     host without links would hand on is lost, which lowers all scores alike. ``part`` is the
     score where the seeds share one unit.
+
+    Scores begin at what the seeds keep and only rise, each rise being at most the damping
+    times the last one: the rise of STRIDE rounds bounds all that is still to come. Rounds
+    end when that is ``unsettled`` or less, summed over all hosts.
     """
     up, down = DAMPING
     out = edges.groupBy(src).agg(F.sum("w").alias("out"))
@@ -81,16 +90,20 @@ def propagated(edges: DataFrame, seeds: DataFrame, src: str, dst: str, rounds: i
     base = scratch.materialize(seeds.select("host", F.lit(UNIT).cast("bigint").alias("score")), "seeds")
     share = UNIT // max(base.count(), 1)
     start = base.select("host", F.expr(f"score * {down - up} div {down}").alias("score"))
-    rank = base
-    for k in range(rounds):
-        moved = flow.join(rank, F.col("a") == F.col("host")).select(F.col("b").alias("host"), F.expr(f"cast(cast(score as decimal(20)) * {up} div {down} as decimal(20)) * w div out").alias("score"))
-        rank = moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
-            rank = scratch.materialize(rank, "rank")
+    rank, total = start, start.agg(F.sum(F.expr("cast(score as decimal(38))"))).first()[0] or 0
+    left = (up / down) ** STRIDE
+    while total:
+        for _ in range(STRIDE):
+            moved = flow.join(rank, F.col("a") == F.col("host")).select(F.col("b").alias("host"), F.expr(f"cast(cast(score as decimal(20)) * {up} div {down} as decimal(20)) * w div out").alias("score"))
+            rank = moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
+        rank = scratch.materialize(rank, "rank")
+        before, total = total, rank.agg(F.sum(F.expr("cast(score as decimal(38))"))).first()[0]
+        if float(total - before) * left / (1 - left) <= unsettled:
+            break
     return rank.selectExpr("host", "score", f"cast(score as decimal(20)) * {share}L div {UNIT}L as part")
 
 
-def verdicts(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, least: int = LEAST) -> DataFrame:
+def verdicts(pages: DataFrame, rules: tuple = RULES, least: int = LEAST) -> DataFrame:
     """(page_id, host, path, rule, trust, distrust, verdict) of each page.
 
     Trusted seeds are hosts of which allow rules decide most pages, blocked seeds those of
@@ -103,8 +116,8 @@ def verdicts(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, least
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block")
     )
     edges = scratch.materialize(host_edges(pages), "edges")
-    trust = propagated(edges, votes.where("2 * allow > n").select("host"), "src", "dst", rounds).withColumnsRenamed({"host": "t_host", "score": "t_score", "part": "trust"})
-    distrust = propagated(edges, votes.where("2 * block > n").select("host"), "dst", "src", rounds).withColumnsRenamed({"host": "d_host", "score": "d_score", "part": "distrust"})
+    trust = propagated(edges, votes.where("2 * allow > n").select("host"), "src", "dst").withColumnsRenamed({"host": "t_host", "score": "t_score", "part": "trust"})
+    distrust = propagated(edges, votes.where("2 * block > n").select("host"), "dst", "src").withColumnsRenamed({"host": "d_host", "score": "d_score", "part": "distrust"})
     scored = where.join(trust, F.expr("host = t_host"), "left").join(distrust, F.expr("host = d_host"), "left")
     return scored.selectExpr(
         "page_id", "host", "path", "rule", "coalesce(trust, 0L) as trust", "coalesce(distrust, 0L) as distrust",

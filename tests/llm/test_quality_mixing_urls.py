@@ -106,6 +106,22 @@ def test_unrelated_blocked_hosts_change_no_verdict(spark):
     assert want[3] == want[4] == want[10] == "block" and want[5] == "allow"
 
 
+def test_scores_of_a_long_chain_are_settled(spark):
+    """Each host of the chain links to the one before; a cycle hangs on it. Against a solution by many float rounds."""
+    n, pages = 20, [(0, "http://bad.net/es/1", "")]
+    to = {f"h{i}.org": [f"h{i - 1}.org" if i > 1 else "bad.net"] for i in range(1, n + 1)}
+    to |= {"c1.org": ["c2.org", "h2.org"], "c2.org": ["c1.org"], "bad.net": []}
+    pages += [(i, f"http://{h}/", "".join(f'<a href="http://{d}/">' for d in ds)) for i, (h, ds) in enumerate(to.items(), 1) if ds]
+    got = {r.host: r for r in urls.verdicts(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    back = {h: [x for x, ds in to.items() if h in ds] for h in to}
+    score = dict.fromkeys(to, 0.0)
+    for _ in range(2000):
+        score = {h: (0.15 if h == "bad.net" else 0.0) + 0.85 * sum(score[d] / len(back[d]) for d in to[h]) for h in to}
+    for h, x in score.items():
+        assert abs(got[h].distrust / urls.UNIT - x) < urls.LEAST / urls.UNIT / 10, h
+        assert got[h].verdict == "block", h
+
+
 def test_archives_round_trip(spark):
     big = "x" * 3_000_000
     rows = [(3, "http://a/\r\nb", "same", 0), (1, None, "same", 0), (2, "u", "", 0), (4, "u", None, 0), (5, "u", big, 0), (6, "u", "WARC/1.1\r\n\r\nContent-Length: 9\r\n\r\n", 0), (None, "u", "same", 0), (1, None, "same", 0)]
