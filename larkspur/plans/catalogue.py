@@ -41,7 +41,7 @@ GRAPH: dict[str, Node] = {
     "recovery": _node(censoring.DIAGNOSTICS, panel="recovered"),
     "draws": _node(censoring.posterior(5), panel="recovered"),
     "featured": _node(features.time_features_step(), True, panel="recovered"),
-    "training": _node(features.training_step(60, 7), featured="featured"),
+    "training": _node(features.training_step(TEST[0], HORIZON), featured="featured"),
     "origin": _node(features.origin_step(TEST[0], HORIZON), featured="featured"),
     "regimes": _node(lifecycle.regime_step("recovered_demand_mean"), True, panel="recovered"),
     "states": _node(lifecycle.STATES, panel="regimes"),

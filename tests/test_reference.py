@@ -29,6 +29,16 @@ def test_queries_against_sql(spark, name):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want.fetchall()))
 
 
+def test_training_frame_reaches_the_test_origin(spark):
+    """Every day up to TEST with every horizon of which the target is not beyond it."""
+    got = catalogue.QUERIES["direct_training_frame"](spark, SF)
+    r = got.selectExpr("count(*) as n", "max(date_idx) as day", "max(horizon) as horizon", "max(date_idx + horizon) as last", "count(distinct series_id) as series").first()
+    origin, h = catalogue.TEST[0], catalogue.HORIZON
+    assert (r.day, r.horizon, r.last) == (origin - 1, h, origin)
+    assert r.n == r.series * sum(min(h, origin - d) for d in range(origin))
+    test_queries_against_sql(spark, "direct_training_frame")
+
+
 def test_price_golden(spark):
     shape = "series_id string, date_idx int, sales double, demand double, stockout int, price double, promo int, category string, store string, dow int"
     rows = [(f"s1|g|{s}", d, 1.0, 1.0, 0, p, 0, "g", "s1", 0) for s, d, p in (("a", 0, None), ("a", 7, 2.0), ("b", 0, None), ("b", 7, 3.0))]
