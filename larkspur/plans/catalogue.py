@@ -39,7 +39,7 @@ GRAPH: dict[str, Node] = {
     "censored": _node(censoring.controlled_stockouts(), panel="priced"),
     "recovered": _node(censoring.RECOVERED, True, panel="censored"),
     "recovery": _node(censoring.DIAGNOSTICS, panel="recovered"),
-    "draws": _node(censoring.posterior(5), panel="recovered"),
+    "draws": _node(censoring.posterior(), panel="recovered"),
     "featured": _node(features.time_features_step(), True, panel="recovered"),
     "training": _node(features.training_step(TEST[0], HORIZON), featured="featured"),
     "origin": _node(features.origin_step(TEST[0], HORIZON), featured="featured"),
@@ -79,7 +79,7 @@ GRAPH: dict[str, Node] = {
     "routed": _node(evaluation.ROUTED, forecast="calibrated", routing="decision"),
     "routing": _node(evaluation.ROUTING_SUMMARY, routing="decision"),
     "tested": _node(_select(f"select * from {{x}} where origin = {TEST[0]} and model = 'tsb'"), x="applied"),
-    "paths": _node(simulation.paths_step(20), True, forecast="tested"),
+    "paths": _node(simulation.paths_step(), True, forecast="tested"),
     "path_scores": _node(simulation.PATH_DIAGNOSTICS, scenarios="paths"),
     "path_nodes": _node(evaluation.PATH_NODES, forecast="paths", metadata="truth"),
     "loops": Node(closed_loop.paths_step(), {}),

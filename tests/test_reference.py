@@ -39,6 +39,17 @@ def test_training_frame_reaches_the_test_origin(spark):
     test_queries_against_sql(spark, "direct_training_frame")
 
 
+def test_scenarios_and_draws_are_as_many_as_the_reference_has(spark):
+    """120 scenario paths and 30 posterior draws, in the paths, in what is made of them and in the SQL."""
+    got = {n: catalogue.QUERIES[n](spark, SF) for n in ("scenario_paths", "scenario_diagnostics", "reconciled_scenarios", "posterior_draws")}
+    for n, c, many in (("scenario_paths", "scenario", 120), ("reconciled_scenarios", "scenario", 120), ("posterior_draws", "draw", 30)):
+        r = got[n].selectExpr(f"count(distinct {c}) as n", f"min({c}) as least", f"max({c}) as most").first()
+        assert (r.n, r.least, r.most) == (many, 0, many - 1), n
+    assert got["scenario_diagnostics"].first().n_scenarios == 120
+    for n in got:
+        test_queries_against_sql(spark, n)
+
+
 def test_price_golden(spark):
     shape = "series_id string, date_idx int, sales double, demand double, stockout int, price double, promo int, category string, store string, dow int"
     rows = [(f"s1|g|{s}", d, 1.0, 1.0, 0, p, 0, "g", "s1", 0) for s, d, p in (("a", 0, None), ("a", 7, 2.0), ("b", 0, None), ("b", 7, 3.0))]
