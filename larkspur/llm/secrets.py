@@ -1,6 +1,8 @@
 """Secret scans: candidates by pattern, judged by a random forest.
 
-A candidate is a run of 16 or more characters that tokens are made of, with a digit in it.
+A candidate is a run of 16 or more characters that tokens are made of, with a digit in it; or,
+with or without a digit, a value of 6 or more characters after a key word and = or :, up to
+the closing quote, if any; or the password of user:password@host.
 Most are harmless (digests, identifiers, paths, numbers). A forest trained on labelled
 findings decides from length, character transitions and classes, coverage by dictionary
 words, whether it is part of a path, and the words beside it. The trained trees become one
@@ -25,7 +27,22 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_.\\-])(?=[A-Za-z+/_.\\-]*[0-9])[A-Za-z0-9+/_.\\-]{16,}={0,2}"
+KEY_WORDS = "secret|token|passw|passphrase|pwd|api|auth|credential|bearer|private|key|(?<![a-z])pin(?![a-z])"
+RUN = r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*[0-9])[A-Za-z0-9+/_.\-]{16,}={0,2}"
+#: Where a value begins. One character decides in most places; the key word is looked for last.
+AFTER_KEY_WORD = (
+    r"(?<=[=:>\s\"'`])(?<=[=:>][ \t]{0,3}[\"'`]?|(?i:bearer|basic) )"
+    rf"(?<=(?i:{KEY_WORDS})[A-Za-z0-9_\-]{{0,24}}[\"'`\]]{{0,2}}[ \t]{{0,3}}[=:]{{1,2}}[=>]?[ \t]{{0,3}}(?i:(?:bearer|basic) )?[\"'`]?)"
+    r"(?![A-Za-z][A-Za-z0-9+.\-]*://)"
+)
+#: A quoted value may have spaces; one with a RUN in it is left to the others.
+QUOTED = "|".join(rf"(?<={q})(?![^{q}\r\n]*[A-Za-z0-9+/_.\-]{{16}})[^{q}\r\n]{{6,200}}(?={q})" for q in ("\"", "'", "`"))
+#: A value without spaces ends before another name=, a tag, or a RUN in brackets or after ? | = or :.
+PLAIN = r"[^\s\"'`<>&,;(\[{?=|:]"
+BREAK = r"(?:[&,;](?![A-Za-z_][A-Za-z0-9_.\-]*[=:])|[(\[{?=|:](?![A-Za-z0-9+/_.\-]{16})|<(?![/A-Za-z!])|>)"
+VALUE = rf"(?![,;)\]}}])(?=(?:{PLAIN}|{BREAK}){{6}})(?:{PLAIN}|{BREAK}){PLAIN}*(?:{BREAK}{PLAIN}*){{0,64}}(?<![,;)\]}}])"
+PASSWORD = r"(?<=:)(?<=(?:://|(?<![^\s\"'=(]))[A-Za-z0-9_.%+\-]{0,64}:)[^\s/\"'<>]{3,}(?=@[A-Za-z0-9\[])"
+CANDIDATE = f"{PASSWORD}|{AFTER_KEY_WORD}(?:{QUOTED}|{VALUE})|{RUN}"
 CONTEXT = 40
 MAX_FINDINGS = 4000
 TREES, DEPTH = 15, 6
@@ -36,14 +53,17 @@ DICTIONARY = (
     "static assets content upload user admin name date time year month version release build model report table number home docs blog news "
     "html json text http https www com org net img src lib bin usr var tmp log"
 ).split()
-KEY_WORDS = "secret|token|passw|pwd|api|auth|credential|bearer|private|key"
+#: Names right before = or : of which the values are rarely anything else.
+PASS_WORDS = "passw|passphrase|pwd|secret|token|api_?-?key|(?<![a-z])pin(?![a-z])"
+#: What stands for a value: words of forms and code.
+REFERENCE = "^(required|optional|string|integer|boolean|enabled|disabled|default|hidden|redacted|missing|invalid|undefined|unknown|expired|password|secret|token)[.!?]?$|^[*.x-]+$|^[$%<{\\\\[(]|[(){}]|^[a-z_]+([.][a-z_]+)+$"
 BENIGN_WORDS = "sha|md5|commit|checksum|digest|hash|uuid|isbn|etag|revision|phone|card|account|order|invoice|tracking|serial|version"
 PLACEHOLDERS = "example|sample|dummy|placeholder|changeme|your|fake|xxxx|0000|1234567"
 #: How issued tokens begin, in lower case.
 PREFIXES = "akia|asia|gh[opsu]_|github_pat_|sk_live_|sk_test_|xox[abeprs]-|glpat-|aiza|eyj"
 #: Frequent pairs of letters: names and paths are made of them, random characters are not.
 PAIRS = "th|he|an|er|in|on|re|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce"
-FEATURES = ("length", "runs", "digits", "upper", "hex", "distinct", "coverage", "path", "key_word", "assigned", "placeholder", "benign", "separators", "prefix", "pairs")
+FEATURES = ("length", "runs", "digits", "upper", "hex", "distinct", "coverage", "path", "key_word", "assigned", "placeholder", "benign", "separators", "prefix", "pairs", "pass_word", "reference", "letters", "spaces", "special", "user")
 
 
 def _features(c: str, before: str, after: str) -> list[str]:
@@ -67,6 +87,12 @@ def _features(c: str, before: str, after: str) -> list[str]:
         share("_./+\\\\-"),
         f"if(lower({c}) rlike '^({PREFIXES})', 1D, 0D)",
         f"1D - length(regexp_replace(lower({c}), '{PAIRS}', '')) / length({c})",
+        f"if(lower({before}) rlike '({PASS_WORDS})[a-z0-9_-]*[^a-z0-9]*$', 1D, 0D)",
+        f"if(lower({c}) rlike '{REFERENCE}', 1D, 0D)",
+        f"if({c} rlike '^([A-Z]?[a-z]+|[A-Z]+)$', 1D, 0D)",
+        f"cast(length({c}) - length(replace({c}, ' ', '')) as double)",
+        share("^A-Za-z0-9 _./+\\\\-"),
+        f"if({before} rlike ':$' and {after} like '@%', if({before} rlike '://[^ ]*$' or not lower({before}) rlike '(mail|mailto|cc|to|from):$', 1D, 0D), 0D)",
     ]
 
 
@@ -103,6 +129,41 @@ def labelled_findings(n: int = 2000, seed: int = 1) -> list[tuple[str, str, str,
         ][kind]()
         return s if re.search("[0-9]", s) else s[:-1] + "7"
 
+    def short_secret() -> tuple[str, str, str]:
+        """(before, candidate, after) of passwords, PINs, phrases and keys of letters."""
+        k = rng.randrange(7)
+        name = rng.choice(("password", "passwd", "pwd", "secret", "DB_PASSWORD", "user_password", "client_secret", "api_key", "token"))
+        to, end = rng.choice(((" = \"", "\" "), ("='", "' "), (": ", " "), ("=", "\n"), ("\": \"", "\", "), (":", " "), (": '", "'\n")))
+        if k == 0:
+            return name + to, word()[:6].capitalize() + pick(digits, rng.randint(1, 4)) + pick("!@#$%^*", rng.randint(1, 2)), end
+        if k == 1:
+            return name + to, pick(any_case, rng.randint(7, 15)), end
+        if k == 2:
+            return rng.choice(("PIN", "pin", "pwd", "password")) + to, pick(digits, rng.choice((6, 6, 8))), end
+        if k == 3:
+            return name + to, pick(rng.choice((low, low + low.upper())), rng.randint(12, 32)), end
+        if k == 4:
+            return rng.choice(("passphrase = \"", "password: \"", "secret = \"")), words(rng.randint(3, 5)) + " " + pick(low, 3), "\" "
+        if k == 5:
+            return rng.choice(("password", "passwd", "pwd", "DB_PASSWORD")) + to, (word() + word())[:12] + rng.choice(("", "", "7", "!")) + pick(low, 2), end
+        return f"{rng.choice(('postgres', 'https', 'mysql', 'amqp', 'ftp'))}://{word()}:", rng.choice((pick(any_case, rng.randint(6, 14)), pick(low, 8), word() + pick(digits + "!$", 3))), f"@{word()}.example.org/"
+
+    def short_harmless() -> tuple[str, str, str]:
+        """(before, candidate, after) of other values after a key word and = or :."""
+        k = rng.randrange(6)
+        if k == 0:
+            return rng.choice(("author: ", "Author: ", "key: ", "keyword: ", "keywords: ", "tokenizer: ", "api: ", "authority: ", "private: ")), rng.choice((str.capitalize, str.lower))(word() + rng.choice(("an", "er", "ing"))) + "est", rng.choice((" ", ". ", "\n"))
+        if k == 1:
+            name = rng.choice(("password", "token", "secret", "api_key", "auth", "key"))
+            return name + rng.choice((": ", " = ", "=")), rng.choice(("required", "optional", "string", "undefined", "disabled", "invalid", "********", "${DB_PASSWORD}", "$PASSWORD", "<password>", "getpass()", "self.password", "config.token", "request.form.password", "{{ secret }}".replace(" ", ""), "get_token(user)")), rng.choice((" ", "\n"))
+        if k == 2:
+            return rng.choice(("author: \"", "key: \"", "keywords = '", "api: \"", "authors: \"")), words(rng.randint(2, 6)) + " the", rng.choice(("\" ", "' "))
+        if k == 3:
+            return rng.choice(("api: ", "key: ", "api_version: ", "auth_date=")), rng.choice((f"20{rng.randint(10, 26)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}", f"{word()}_{word()}_{word()}")), " "
+        if k == 4:
+            return rng.choice(("mailto:", "email:", "to:", "cc:")), word() + word() + pick(low, 2), f"@{word()}.example.org "
+        return rng.choice(("key: ", "private=", "authors: ", "api: ")), f"/{word()}/{word()}/{word()}.{rng.choice(('html', 'py', 'txt'))}", " "
+
     def harmless() -> tuple[str, str]:
         k = rng.randrange(9)
         if k == 0:
@@ -133,6 +194,10 @@ def labelled_findings(n: int = 2000, seed: int = 1) -> list[tuple[str, str, str,
             if rng.random() < 0.25:
                 before = rng.choice((" token", " api", " secret", " the password", " auth", " private", " key", " credentials:", " api_key =", " token:")) + before
             before = f"{words(rng.randint(1, 6))} {before}" if rng.random() < 0.9 else before.lstrip()
+        if rng.random() < 0.4:
+            before, c, after = short_secret() if label else short_harmless()
+            out.append((f"{words(rng.randint(1, 4))} {before}"[-CONTEXT:], c, after + words(3), label))
+            continue
         if rng.random() < 0.15:
             before, c = before.upper(), c.upper()
         out.append((before[-CONTEXT:], c, rng.choice(("\" ", "' ", " ", "\n", ". ", "")) + words(3), label))
@@ -144,7 +209,7 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, float]] | Non
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = (findings if findings is not None else labelled_findings())[:MAX_FINDINGS]
+    rows = (findings if findings is not None else labelled_findings(MAX_FINDINGS))[:MAX_FINDINGS]
     data = spark.createDataFrame(rows, "before string, c string, after string, label double").coalesce(1)
     data = data.select(array_to_vector(F.expr("array(" + ", ".join(_features("c", "before", "after")) + ")")).alias("features"), "label")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(data)
@@ -172,7 +237,8 @@ def with_findings(docs: DataFrame, votes: str, trees: int = TREES) -> DataFrame:
     """``docs`` with ``_s_gaps``, the text between candidates, and ``_s_found``, an array of
     (c, votes, secret) in the order of the text."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    split = docs.select(*own, F.expr(f"split(text, '{CANDIDATE}', -1)").alias("_s_gaps"), F.expr(f"regexp_extract_all(text, '{CANDIDATE}', 0)").alias("_s_c"))
+    literal = CANDIDATE.replace("\\", "\\\\").replace("'", "\\'")
+    split = docs.select(*own, F.expr(f"split(text, '{literal}', -1)").alias("_s_gaps"), F.expr(f"regexp_extract_all(text, '{literal}', 0)").alias("_s_c"))
     let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
     judged = let(f"right(get(_s_gaps, i), {CONTEXT})", "b", let(f"left(get(_s_gaps, i + 1), {CONTEXT})", "a", let("array(" + ", ".join(_features("c", "b", "a")) + ")", "f", votes)))
     found = f"transform(transform(_s_c, (c, i) -> struct(c as c, {judged} as votes)), x -> struct(x.c as c, x.votes as votes, 2 * x.votes > {trees} as secret))"

@@ -85,3 +85,17 @@ def test_tokens_without_a_key_word(spark, votes):
     alone = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     out = secrets.redact(spark.createDataFrame([(4, alone, 40, "x")], "doc_id bigint, text string, n_chars bigint, c string"), votes).first()
     assert out.text == secrets.MARK and out.n_chars == len(secrets.MARK)
+
+
+def test_short_digitless_and_broken_values(spark, votes):
+    """Whole values after a key word, passwords of URLs and keys of letters only; ordinary values stay."""
+    whole = [
+        ('password = "s3cr3tPass!" end', "s3cr3tPass!"), ("the pwd: Tr0ub4dor&3 end", "Tr0ub4dor&3"), ("DB_PASSWORD=kf93jGh2\nx=1", "kf93jGh2"), ("api_key='qwZkPvTnRbXcMsLdHgJf' end", "qwZkPvTnRbXcMsLdHgJf"),
+        ("postgres://admin:hX7pqz2w@db.example.org/x", "hX7pqz2w"), ("PIN: 583920 end", "583920"), ("token=ab12cd34ef&user=bob", "ab12cd34ef"), ('{"client_secret": "Zk4!pQ9,x2#Lm", "a": 1}', "Zk4!pQ9,x2#Lm"),
+        ('passphrase = "tremble otter candle wix"', "tremble otter candle wix"),
+    ]
+    plain = ["author: Martinez wrote it", "password: required here", "key: /docs/en/index.html of it", "token = get_token(user)", "mailto:annamaria@example.org", "password=${DB_PASSWORD} end", "a:b@c and auth: x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in whole] + plain)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs, votes).collect()}
+    assert [got[i] for i in range(len(whole))] == [t.replace(c, secrets.MARK) for t, c in whole]
+    assert [got[len(whole) + i] for i in range(len(plain))] == plain
