@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ranks, scratch
-from .tokens import encoder, tokenizer_path
+from .tokens import batches_of, encoder, tokenizer_path
 
 CAPACITY = 4096
 END = 1
+#: Pieces of one length that a task sorts.
+RANKED_ROWS = 100_000
 PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -38,23 +40,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
 
     fields = [("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
-    stop = int(end).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        import numpy as np
+
+        own = encoder(path)
+        stop = int(end).to_bytes(4, "little")
         for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc_id, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = encode([text])[0] + stop
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, row, k, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
-                    held += len(part)
-                if held > 16 << 20:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, held = [], 0
-            if rows:
+            keys = zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), strict=True)
+            for texts in batches_of(x.as_py() for x in batch.column("text")):
+                rows: list[tuple] = []
+                for short in own.encode(texts):
+                    doc_id, row = next(keys)
+                    ids = (np.frombuffer(short, dtype="<u2").astype("<u4").tobytes() if own.width == 2 else short) + stop
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc_id, row, k, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     source = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
@@ -109,9 +110,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-def packed(piece: DataFrame, capacity: int = CAPACITY, buckets: int = 32) -> DataFrame:
+def packed(piece: DataFrame, capacity: int = CAPACITY, per_bucket: int = RANKED_ROWS) -> DataFrame:
     """``piece`` with sequence_id and offset. Only the histogram, at most ``capacity`` rows,
-    comes to the driver, and only the plan, a few rows per length, is sent to the tasks."""
+    comes to the driver, and only the plan, a few rows per length, is sent to the tasks. A
+    length is ranked in as many buckets as leave ``per_bucket`` pieces or so to each."""
     spark = piece.sparkSession
     histogram = {r[0]: r[1] for r in piece.groupBy("length").count().collect()}
     slots = sorted(plan(histogram, capacity))
@@ -119,6 +121,7 @@ def packed(piece: DataFrame, capacity: int = CAPACITY, buckets: int = 32) -> Dat
     import pyarrow as pa
 
     names = [f.name for f in piece.schema.fields]
+    buckets = max(1, -(-max(histogram.values(), default=1) // per_bucket))
     ranked = ranks.ranked(piece, "length", ["doc_id", "row", "piece"], buckets, "_p_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

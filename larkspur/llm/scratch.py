@@ -7,6 +7,7 @@ share. Only where that setting is absent (tests, a laptop) is a temporary folder
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -34,13 +35,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: one computation, no lineage."""
     path = new_path(df.sparkSession, name)
+    release(df.sparkSession)
     df.write.parquet(path, **options)
-    # What the driver's garbage collector finds unreachable, Spark's cleaner removes from the
-    # executors: the shuffle files behind this table need not outlive it.
-    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files behind tables that are written by now. It does
+    so for what the driver's garbage collectors find unreachable."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system API."""
     jvm = spark.sparkContext._jvm

@@ -1,19 +1,23 @@
 """Token ids by the public tokenizers of the ``tokenizers`` library, memoised by chunk.
 
-``word_bpe_49k`` drops white space and never merges across it, so the ids of a text are
-those of its space-separated chunks, one after the other. Chunks, and below them words in
-lower case without the punctuation behind, are encoded once per Python worker and then
-looked up; a memo keeps what was used in its last two generations.
+``word_bpe_49k`` lower-cases, drops white space and never merges across it, so the ids of a
+text are those of its space-separated chunks, one after the other. Chunks that were seen
+twice are looked up in a memo of two generations; what a batch of texts lacks is joined by
+spaces, encoded in one call and dealt back by its offsets. Numbers of entries and lengths of
+keys are bounded: some 60 MB, whatever the corpus.
+
+Ids are little-endian and unsigned, of 16 bits where the vocabulary allows it, else of 32.
 """
 
 from __future__ import annotations
 
-import string
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks and words of one generation of a worker's memo, and bytes of the longest chunk in it.
-MEMO_CHUNKS, MEMO_WORDS, MEMO_BYTES = 150_000, 300_000, 64
+#: Chunks seen twice that a memo holds, those seen once, and bytes of the longest.
+MEMO_ROWS, MEMO_NEW, MEMO_BYTES = 200_000, 150_000, 64
+#: Bytes of texts that are encoded together.
+BATCH_BYTES = 4 << 20
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -30,22 +34,17 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-class _Memo:
-    """A dictionary of two generations: when the new one is full, the old one is forgotten."""
-
-    def __init__(self, rows: int):
-        self.rows, self.new, self.old = rows, {}, {}
-
-    def get(self, key):
-        found = self.old.get(key)
-        return None if found is None else self.put(key, found)
-
-    def put(self, key, value: bytes) -> bytes:
-        if len(self.new) >= self.rows:
-            self.old = dict(self.new)
-            self.new.clear()  # in place: callers look into it directly
-        self.new[key] = value
-        return value
+def batches_of(texts: Iterable[bytes | None]) -> Iterator[list[bytes | None]]:
+    """``texts`` in lists of about BATCH_BYTES."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or b"")
+        if size >= BATCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 class ChunkEncoder:
@@ -53,43 +52,70 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._chunks, self._words = _Memo(MEMO_CHUNKS), _Memo(MEMO_WORDS)
-
-    def _ids(self, text: str) -> bytes:
+        #: Bytes of an id.
+        self.width = 2 if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self._known: dict[bytes, bytes] = {}
+        self._before: dict[bytes, bytes] = {}
+        self._once: dict[bytes, bytes] = {}
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of ``parts``."""
         import numpy as np
 
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _part(self, text: str) -> bytes:
-        words = self._words
-        return words.new.get(text) or words.get(text) or words.put(text, self._ids(text))
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        """The tokenizer lower-cases and parts letters from punctuation, so a word of plain
-        letters and what follows it can be encoded apart. Others are encoded whole."""
-        text = chunk.decode("utf-8")
-        word = text.rstrip(string.punctuation)
-        if len(chunk) <= MEMO_BYTES and word.isalpha() and max(word) < "\u0130":
-            end = text[len(word) :]
-            return self._part(word.lower()) + (self._part(end) if end else b"")
-        return self._ids(text)
+        found = self._tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
+        starts = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+        cut = (np.searchsorted(starts, ends, side="left") * self.width).tolist()
+        data = np.array(found.ids, dtype=f"<u{self.width}").tobytes()
+        return [data[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+
+    def _encoded(self, counts: dict[bytes, int]) -> dict[bytes, bytes]:
+        """The ids of chunks, which the memo lacks; ``counts`` tells how often a batch has them."""
+        out, chunks = {}, list(counts)
+        for at in range(0, len(chunks), 1 << 14):
+            some = chunks[at : at + (1 << 14)]
+            out.update(zip(some, self._ids([c.decode("utf-8") for c in some]), strict=True))
+        if len(self._once) > MEMO_NEW:
+            self._once.clear()
+        if len(self._known) > MEMO_ROWS:
+            self._before, self._known = self._known, {}
+        for chunk, ids in out.items():
+            if len(chunk) <= MEMO_BYTES:
+                (self._known if counts[chunk] > 1 else self._once)[chunk] = ids
+        return out
 
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        return [self._one(t) for t in texts]
-
-    def _one(self, text: bytes | None) -> bytes:
-        chunks = self._chunks
-        parts = (text or b"").split()
-        out = list(map(chunks.new.get, parts))
-        if None in out:
-            for k, ids in enumerate(out):
-                if ids is None:
-                    chunk = parts[k]
-                    ids = chunks.new.get(chunk) or chunks.get(chunk)
-                    if ids is None:
-                        ids = self._chunk(chunk)
-                        if len(chunk) <= MEMO_BYTES:
-                            chunks.put(chunk, ids)
-                    out[k] = ids
-        return b"".join(out)
+        """The ids of each UTF-8 text, as bytes."""
+        return [ids for some in batches_of(texts) for ids in self._batch(some)]
+
+    def _batch(self, texts: list[bytes | None]) -> list[bytes]:
+        """Two passes: look up what is known, then encode the rest together."""
+        known, once, before = self._known, self._once, self._before
+        rows, lacking = [], {}
+        for text in texts:
+            # A-Z in lower case are fewer chunks; special tokens are told by their case.
+            chunks = (text.lower() if b"<|" not in text else text).split() if text else []
+            ids = list(map(known.get, chunks))
+            if None in ids:
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                for k in gaps:
+                    chunk = chunks[k]
+                    again = once.pop(chunk, None)
+                    if again is None:
+                        again = known.get(chunk) or before.get(chunk)
+                    if again is None:
+                        lacking[chunk] = lacking.get(chunk, 0) + 1
+                        ids[k] = chunk
+                    else:
+                        known[chunk] = ids[k] = again
+                gaps = [k for k in gaps if ids[k] is chunks[k]]
+                rows.append((ids, gaps))
+            else:
+                rows.append((ids, ()))
+        more = self._encoded(lacking) if lacking else {}
+        out = []
+        for ids, gaps in rows:
+            for k in gaps:
+                ids[k] = more[ids[k]]
+            out.append(b"".join(ids))
+        return out
