@@ -71,6 +71,61 @@ def test_chains_and_edges(spark):
     assert dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(2)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    edited = lambda x: " ".join([*x[:150], "edit", *x[151:]])
+    a, b = text(), text()
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, edited(a)), (10, edited(b)), (None, " ".join(b[:40])), (None, edited(b[:299]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in dedup.near_duplicates(docs, 3, 85).collect())
+    assert got == [(0, 0, True), (0, 5, False), (5, 5, True), (5, 5, True), (9, 5, False), (10, 5, False)]
+    left = {(r.doc_id, r.text) for r in dedup.deduplicated(docs, 3, 85).collect()}
+    assert left == {rows[0], rows[1], rows[4]}
+
+
+def test_filter_with_clashing_columns_and_repeated_rows(spark):
+    taken = "rk nr cid n row regs comp _d_id key".split()
+    rows = [(k, t, *range(9)) for k, t in ((3, "a b c d e f"), (2, "A b c d e f"), (2, "A b c d e f"), (None, "a b c d e F"), (7, None), (8, ""), (None, "x y"), (None, "x y"), (4, "z"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{c} int" for c in taken))
+    got = dedup.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in got.collect()), key=str) == sorted([(2, "A b c d e f"), (7, None), (8, ""), (0, "x y"), (4, "z")], key=str)
+    assert dedup.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_large_group_of_edited_copies_in_blocks(spark, monkeypatch):
+    """Copies that are near the original, some of them below the threshold to each other and to it."""
+    monkeypatch.setattr(dedup, "BLOCK", 64)
+    monkeypatch.setattr(dedup, "PAIRS", 2000)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        own = base[:]
+        for _ in range(rng.choice((1, 3, 5, 8, 12))):
+            own[rng.randrange(200)] = f"x{rng.random()}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows, 3, 85)
+    assert 1 < len({c for _, c in want.values()}) < 400
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(docs, 3, 85).collect()} == want
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n, other in ((5, 5), (40, 44), (127, 130), (1000, 1100), (9000, 9500)):
+        pool = rng.integers(0, 2**63, size=n + other, dtype=np.uint64)
+        a, b = pool[:n], np.concatenate([pool[: n - n // 20], pool[n : n + other - (n - n // 20)]])
+        regs = [dedup.SetSketcher(120).registers(x).tobytes() for x in (a, b)]
+        odd = [dedup.parities(x) for x in (a, b)]
+        test = dedup._Compared(np.array([n, other]), regs, odd, 120, 85)
+        w = int(test.wide.min())
+        differ = int(np.bitwise_count(test._parities(np.array([0]), w) ^ test._parities(np.array([1]), w)).sum())
+        true = len(set(a.tolist()) ^ set(b.tolist()))
+        assert 0.5 * true <= differ <= true
+
+
 def test_likelihood_and_registers():
     rng = np.random.default_rng(1)
     sketcher = dedup.SetSketcher(400)
