@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import names, scratch
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # numerator and denominator: 150 %
@@ -106,11 +106,12 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tu
     """``docs`` with each row as often as the mix takes it. Texts stay where they are: only
     one row per source is joined to them."""
     sized = scratch.materialize(sizes(docs), "sizes")
-    bounds = thresholds(sized, scratch.materialize(targets(sized, weights, share, cap), "targets"))
+    bounds = scratch.materialize(thresholds(sized, scratch.materialize(targets(sized, weights, share, cap), "targets")), "bounds")
     h = "cast(conv(substr(md5(cast(doc_id as string)), 1, 15), 16, 10) as bigint)"
     own = [F.col(f"`{c}`") for c in docs.columns]
-    taken = docs.join(bounds.selectExpr("t_source", "copies as _m_copies", "bound as _m_bound"), F.expr("source <=> t_source"))
-    return taken.withColumn("_m_n", F.explode(F.expr(f"array_repeat(0, cast(_m_copies + if({h} < _m_bound, 1, 0) as int))"))).select(*own)
+    source, copies, bound, nr = names.free(docs.columns, "m_source", "m_copies", "m_bound", "m_nr")
+    taken = docs.join(bounds.selectExpr(f"t_source as {source}", f"copies as {copies}", f"bound as {bound}"), F.expr(f"source <=> {source}"))
+    return taken.withColumn(nr, F.explode(F.expr(f"array_repeat(0, cast({copies} + if({h} < {bound}, 1, 0) as int))"))).select(*own)
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

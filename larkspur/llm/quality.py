@@ -11,9 +11,8 @@ fixed cutoffs; documents meet their fences in an ordinary join.
 Defined results: a null or wordless text has zeros and fails the base rule; a null
 language or source is a group of its own; a group of fewer than ``min_group`` documents
 uses its language's sketch, a small language the corpus'; repeated rows are judged row by
-row; an empty table gives an empty result; other columns are neither read nor changed
-(names that begin with ``_q_`` are reserved). The 3-word windows of one text are compared
-by 64-bit hashes.
+row; an empty table gives an empty result; other columns are neither read nor changed,
+whatever their names. The 3-word windows of one text are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -52,43 +51,51 @@ _REPEATS = _let(
 )
 
 
-def with_measures(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns of COUNTS, ``base_failed`` and MEASURES, each prefixed by ``_q_``."""
+def prefix_for(docs: DataFrame) -> str:
+    """A beginning that no column of ``docs`` has."""
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def with_measures(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
+    """``docs`` with the columns of COUNTS, ``base_failed`` and MEASURES, each behind ``prefix``."""
     t = "coalesce(text, '')"
     own = [F.col(f"`{c}`") for c in docs.columns]
     parts = docs.select(
         *own,
-        F.expr(f"filter(split({t}, '[\\\\x20\\\\x09-\\\\x0D]+', -1), w -> w != '')").alias("_q_words"),
-        F.expr(f"filter(split({t}, '\\\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("_q_lines"),
-        F.expr(f"cast(regexp_count({t}, '[#*$%&|<>]') as bigint)").alias("_q_n_symbols"),
+        F.expr(f"filter(split({t}, '[\\\\x20\\\\x09-\\\\x0D]+', -1), w -> w != '')").alias(f"{prefix}words"),
+        F.expr(f"filter(split({t}, '\\\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias(f"{prefix}lines"),
+        F.expr(f"cast(regexp_count({t}, '[#*$%&|<>]') as bigint)").alias(f"{prefix}n_symbols"),
     )
     # A generator's columns are computed once: no filter above is rewritten into these expressions.
-    counts = ", ".join(f"{x} as _q_{c}" for c, x in (
-        ("n_words", "cast(size(_q_words) as bigint)"),
-        ("word_chars", "cast(length(array_join(_q_words, '')) as bigint)"),
-        ("n_symbols", "_q_n_symbols"),
-        ("n_lines", "cast(size(_q_lines) as bigint)"),
-        ("n_dup_lines", "cast(size(_q_lines) - size(array_distinct(_q_lines)) as bigint)"),
-        ("n_repeat_words", _REPEATS),
+    counts = ", ".join(f"{x} as {prefix}{c}" for c, x in (
+        ("n_words", f"cast(size({prefix}words) as bigint)"),
+        ("word_chars", f"cast(length(array_join({prefix}words, '')) as bigint)"),
+        ("n_symbols", f"{prefix}n_symbols"),
+        ("n_lines", f"cast(size({prefix}lines) as bigint)"),
+        ("n_dup_lines", f"cast(size({prefix}lines) - size(array_distinct({prefix}lines)) as bigint)"),
+        ("n_repeat_words", _REPEATS.replace("_q_", prefix)),
     ))
     counted = parts.select(*own, F.expr(f"inline(array(struct({counts})))"))
     return counted.select(
         *own,
-        *[f"_q_{c}" for c in COUNTS],
-        F.expr("_q_n_words < 50 or 100 * _q_n_repeat_words > 50 * _q_n_words").alias("_q_base_failed"),
-        F.expr("1000 * _q_n_symbols div greatest(_q_word_chars, 1L)").alias("_q_symbols"),
-        F.expr("1000 * _q_n_dup_lines div greatest(_q_n_lines, 1L)").alias("_q_dup_lines"),
-        F.expr("1000 * _q_n_repeat_words div greatest(_q_n_words, 1L)").alias("_q_repeats"),
-        F.expr("10 * _q_word_chars div greatest(_q_n_words, 1L)").alias("_q_word_len"),
+        *[f"{prefix}{c}" for c in COUNTS],
+        F.expr(f"{prefix}n_words < 50 or 100 * {prefix}n_repeat_words > 50 * {prefix}n_words").alias(f"{prefix}base_failed"),
+        F.expr(f"1000 * {prefix}n_symbols div greatest({prefix}word_chars, 1L)").alias(f"{prefix}symbols"),
+        F.expr(f"1000 * {prefix}n_dup_lines div greatest({prefix}n_lines, 1L)").alias(f"{prefix}dup_lines"),
+        F.expr(f"1000 * {prefix}n_repeat_words div greatest({prefix}n_words, 1L)").alias(f"{prefix}repeats"),
+        F.expr(f"10 * {prefix}word_chars div greatest({prefix}n_words, 1L)").alias(f"{prefix}word_len"),
     )
 
 
-def sketches(measured: DataFrame) -> DataFrame:
+def sketches(measured: DataFrame, prefix: str = "_q_") -> DataFrame:
     """Rows (lang, source, measure, bucket, n) of the documents that pass the base rule."""
-    pairs = ", ".join(f"'{m}', _q_{m}" for m in MEASURES)
+    pairs = ", ".join(f"'{m}', {prefix}{m}" for m in MEASURES)
     shift = "greatest(length(bin(v)) - 6, 0)"
     return (
-        measured.where("not _q_base_failed")
+        measured.where(f"not {prefix}base_failed")
         .select("lang", "source", F.expr(f"stack({len(MEASURES)}, {pairs}) as (measure, v)"))
         .select("lang", "source", "measure", F.expr(f"shiftleft(shiftright(v, {shift}), {shift})").alias("bucket"))
         .groupBy("lang", "source", "measure", "bucket")
@@ -129,13 +136,13 @@ def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"_f_{m}") for m in MEASURES])
 
 
-def judged(measured: DataFrame, fence: DataFrame) -> DataFrame:
-    """``measured`` with ``_q_kept``: neither the base rule nor a fence rejects the row."""
-    within = " and ".join(f"_q_{m} <= _f_{m}" for m in MEASURES)
-    f = fence.withColumnsRenamed({"lang": "_f_lang", "source": "_f_source"})
+def judged(measured: DataFrame, fence: DataFrame, prefix: str = "_q_") -> DataFrame:
+    """``measured`` with ``<prefix>kept``: neither the base rule nor a fence rejects the row."""
+    within = " and ".join(f"{prefix}{m} <= {prefix}f_{m}" for m in MEASURES)
+    f = fence.withColumnsRenamed({c: f"{prefix}f_{c.removeprefix('_f_')}" for c in fence.columns})
     return (
-        measured.join(f, F.expr("lang <=> _f_lang and source <=> _f_source"), "left")
-        .withColumn("_q_kept", F.expr(f"not _q_base_failed and coalesce({within}, true)"))
+        measured.join(f, F.expr(f"lang <=> {prefix}f_lang and source <=> {prefix}f_source"), "left")
+        .withColumn(f"{prefix}kept", F.expr(f"not {prefix}base_failed and coalesce({within}, true)"))
         .drop(*f.columns)
     )
 
@@ -149,10 +156,13 @@ def quality_report(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Texts stay where they are:
-    they are measured again rather than moved, and only fences are joined."""
-    small = scratch.materialize(sketches(with_measures(docs.select("lang", "source", "text"))), "sketch")
-    return judged(with_measures(docs), fences(small, min_group)).where("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are kept, with their columns. Each text is measured once: rows
+    stand in a scratch table beside their measures. The fences are a small table of their own,
+    so that Spark broadcasts them as long as its size allows; only beyond do rows move."""
+    prefix = prefix_for(docs)
+    measured = scratch.materialize(with_measures(docs, prefix), "quality")
+    fence = scratch.materialize(fences(sketches(measured, prefix), min_group), "fences")
+    return judged(measured, fence, prefix).where(f"{prefix}kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

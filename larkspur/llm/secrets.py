@@ -14,9 +14,8 @@ Labelled findings are (before, candidate, after, label); at most MAX_FINDINGS ar
 
 Defined results: a null text has no candidates and stays null; an empty one stays empty;
 every candidate of a long text is judged, with CONTEXT characters on either side of it, but
-none beyond another candidate; repeated rows are scanned each on its own; an empty table
-gives an empty result; other columns are neither read nor changed (names that begin with
-``_s_`` are reserved).
+none beyond another candidate; repeated rows are scanned each on its own; an empty table gives an empty
+result; other columns are neither read nor changed, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +26,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import names
+
 KEY_WORDS = "secret|token|passw|passphrase|pwd|api|auth|credential|bearer|private|key|(?<![a-z])pin(?![a-z])"
 RUN = r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*[0-9])[A-Za-z0-9+/_.\-]{16,}={0,2}"
 #: Where a value begins. One character decides in most places; the key word is looked for last.
@@ -45,7 +46,7 @@ PASSWORD = r"(?<=:)(?<=(?:://|(?<![^\s\"'=(]))[A-Za-z0-9_.%+\-]{0,64}:)[^\s/\"'<
 CANDIDATE = f"{PASSWORD}|{AFTER_KEY_WORD}(?:{QUOTED}|{VALUE})|{RUN}"
 CONTEXT = 40
 MAX_FINDINGS = 4000
-TREES, DEPTH = 15, 6
+TREES, DEPTH = 15, 8
 MARK = "[SECRET]"
 #: Words that count for dictionary coverage, of candidates in lower case.
 DICTIONARY = (
@@ -205,62 +206,67 @@ def labelled_findings(n: int = 2000, seed: int = 1) -> list[tuple[str, str, str,
 
 
 def train(spark: SparkSession, findings: list[tuple[str, str, str, float]] | None = None, trees: int = TREES, depth: int = DEPTH, seed: int = 17) -> str:
-    """Fit the forest; SQL of the number of trees that call the features ``f`` (array) a secret."""
+    """Fit the forest; SQL of the mean share of secrets in the leaves that the features ``f`` (array)
+    reach: the probability that the model itself gives."""
+    model = fitted(spark, findings, trees, depth, seed)
+    return "(" + " + ".join(_sql(tree._java_obj.rootNode()) for tree in model.trees) + f") / {len(model.trees)}"
+
+
+def fitted(spark: SparkSession, findings: list[tuple[str, str, str, float]] | None = None, trees: int = TREES, depth: int = DEPTH, seed: int = 17):
+    """The forest of Spark's machine learning library, on at most MAX_FINDINGS findings."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
 
-    rows = (findings if findings is not None else labelled_findings(MAX_FINDINGS))[:MAX_FINDINGS]
-    data = spark.createDataFrame(rows, "before string, c string, after string, label double").coalesce(1)
-    data = data.select(array_to_vector(F.expr("array(" + ", ".join(_features("c", "before", "after")) + ")")).alias("features"), "label")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(data)
-    return "(" + " + ".join(_sql(tree.toDebugString) for tree in model.trees) + ")"
+    data = featured(spark, (findings if findings is not None else labelled_findings(MAX_FINDINGS))[:MAX_FINDINGS])
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(data)
+
 
+def featured(spark: SparkSession, findings: list[tuple[str, str, str, float]]) -> DataFrame:
+    """(f, features, label) of findings: the features as an array and as a vector."""
+    from pyspark.ml.functions import array_to_vector
 
-def _sql(tree: str) -> str:
-    """The nested conditions of a printed tree."""
-    lines = iter(x.strip() for x in tree.splitlines()[1:] if x.strip())
+    data = spark.createDataFrame(findings, "before string, c string, after string, label double").coalesce(1)
+    data = data.select(F.expr("array(" + ", ".join(_features("c", "before", "after")) + ")").alias("f"), "label")
+    return data.withColumn("features", array_to_vector("f"))
 
-    def node() -> str:
-        line = next(lines)
-        if line.startswith("Predict"):
-            return str(int(float(line.split(":")[1])))
-        at, bound = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
-        yes = node()
-        next(lines)  # Else
-        no = node()
-        return yes if yes == no else f"if(f[{at}] <= {float(bound)!r}D, {yes}, {no})"
 
-    return node()
+def _sql(node) -> str:
+    """The nested conditions of a tree's node; a leaf is the share of secrets in it."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        stats = node.impurityStats().stats()
+        return f"{stats[1] / (stats[0] + stats[1])!r}D"
+    yes, no = _sql(node.leftChild()), _sql(node.rightChild())
+    return yes if yes == no else f"if(f[{node.split().featureIndex()}] <= {float(node.split().threshold())!r}D, {yes}, {no})"
 
 
-def with_findings(docs: DataFrame, votes: str, trees: int = TREES) -> DataFrame:
-    """``docs`` with ``_s_gaps``, the text between candidates, and ``_s_found``, an array of
-    (c, votes, secret) in the order of the text."""
+def with_findings(docs: DataFrame, score: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns more, and their names: the text between candidates, and an array of
+    (c, score, secret) in the order of the text. A secret is more likely one than not."""
+    gaps, cut, found = names.free(docs.columns, "s_gaps", "s_cut", "s_found")
     own = [F.col(f"`{c}`") for c in docs.columns]
     literal = CANDIDATE.replace("\\", "\\\\").replace("'", "\\'")
-    split = docs.select(*own, F.expr(f"split(text, '{literal}', -1)").alias("_s_gaps"), F.expr(f"regexp_extract_all(text, '{literal}', 0)").alias("_s_c"))
+    split = docs.select(*own, F.expr(f"split(text, '{literal}', -1)").alias(gaps), F.expr(f"regexp_extract_all(text, '{literal}', 0)").alias(cut))
     let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
-    judged = let(f"right(get(_s_gaps, i), {CONTEXT})", "b", let(f"left(get(_s_gaps, i + 1), {CONTEXT})", "a", let("array(" + ", ".join(_features("c", "b", "a")) + ")", "f", votes)))
-    found = f"transform(transform(_s_c, (c, i) -> struct(c as c, {judged} as votes)), x -> struct(x.c as c, x.votes as votes, 2 * x.votes > {trees} as secret))"
-    return split.select(*own, "_s_gaps", F.expr(found).alias("_s_found"))
+    judged = let(f"right(get({gaps}, i), {CONTEXT})", "b", let(f"left(get({gaps}, i + 1), {CONTEXT})", "a", let("array(" + ", ".join(_features("c", "b", "a")) + ")", "f", score)))
+    every = f"transform(transform({cut}, (c, i) -> struct(c as c, {judged} as score)), x -> struct(x.c as c, x.score as score, x.score > 0.5D as secret))"
+    return split.select(*own, gaps, F.expr(every).alias(found)), gaps, found
 
 
-def scan(docs: DataFrame, votes: str, trees: int = TREES) -> DataFrame:
-    """One row per candidate: doc_id, nr (from 0), length, sha256, votes, secret."""
-    found = with_findings(docs.select("doc_id", "text"), votes, trees)
-    return found.select("doc_id", F.posexplode("_s_found").alias("nr", "x")).selectExpr(
-        "doc_id", "nr", "length(x.c) as length", "sha2(x.c, 256) as sha256", "x.votes as votes", "x.secret as secret"
+def scan(docs: DataFrame, score: str) -> DataFrame:
+    """One row per candidate: doc_id, nr (from 0), length, sha256, score, secret."""
+    rows, _, found = with_findings(docs.select("doc_id", "text"), score)
+    return rows.select("doc_id", F.posexplode(found).alias("nr", "x")).selectExpr(
+        "doc_id", "nr", "length(x.c) as length", "sha2(x.c, 256) as sha256", "round(x.score, 6) as score", "x.secret as secret"
     )
 
 
-def redact(docs: DataFrame, votes: str, trees: int = TREES, mark: str = MARK) -> DataFrame:
+def redact(docs: DataFrame, score: str, mark: str = MARK) -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by ``mark``, and ``n_chars``, if there, counted again."""
-    found = with_findings(docs, votes, trees)
-    clean = f"""if(exists(_s_found, x -> x.secret), array_join(transform(_s_gaps, (g, i) ->
-        concat(g, coalesce(if(get(_s_found, i).secret, '{mark}', get(_s_found, i).c), ''))), ''), text)"""
-    out = found.withColumn("text", F.expr(f"if(text is null, null, {clean})"))
+    rows, gaps, found = with_findings(docs, score)
+    clean = f"""if(exists({found}, x -> x.secret), array_join(transform({gaps}, (g, i) ->
+        concat(g, coalesce(if(get({found}, i).secret, '{mark}', get({found}, i).c), ''))), ''), text)"""
+    out = rows.withColumn("text", F.expr(f"if(text is null, null, {clean})"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.exists("_s_found", lambda x: x.secret), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.exists(found, lambda x: x.secret), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

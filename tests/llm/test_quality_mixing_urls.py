@@ -132,3 +132,20 @@ def test_archives_round_trip(spark):
     assert got == [(0, 4, "response", None), (1, 4, "response", None), (1, 4, "response", None), (2, 0, "response", None), (3, 4, "revisit", 1), (4, 0, "revisit", 2), (5, len(big), "response", None), (6, 33, "response", None)]
     third = scratch.new_path(spark, "w")
     assert warc.write_archives(pages.limit(0), third).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Every helper name is a column of the input already."""
+    from pyspark.sql import functions as F
+
+    from larkspur.llm import mixing, quality, secrets
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    taken = ["_q_words", "_q_kept", "_f_lang", "_q_f_source", "t_source", "e_source", "m_copies", "m_source", "copies", "bound", "h", "size", "s_gaps", "s_found", "_s_c", "fence", "upto"]
+    more = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(taken)])
+    score = secrets.train(spark)
+    for stage in (quality.quality_filter, mixing.mix_documents, lambda d: secrets.redact(d, score)):
+        got = stage(more)
+        assert got.columns == more.columns
+        assert sorted(map(str, got.select(docs.columns).collect())) == sorted(map(str, stage(docs).collect()))
+        assert stage(more.limit(0)).count() == 0

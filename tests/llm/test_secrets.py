@@ -99,3 +99,14 @@ def test_short_digitless_and_broken_values(spark, votes):
     got = {r.doc_id: r.text for r in secrets.redact(docs, votes).collect()}
     assert [got[i] for i in range(len(whole))] == [t.replace(c, secrets.MARK) for t, c in whole]
     assert [got[len(whole) + i] for i in range(len(plain))] == plain
+
+
+def test_the_sql_is_the_model(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    model, sql = secrets.fitted(spark), secrets.train(spark)
+    data = secrets.featured(spark, secrets.labelled_findings(600, seed=5))
+    rows = model.transform(data).select(vector_to_array("probability")[1].alias("p"), "prediction", F.expr(sql).alias("score")).collect()
+    assert max(abs(r.p - r.score) for r in rows) < 1e-9
+    assert all((r.score > 0.5) == (r.prediction == 1.0) for r in rows if abs(r.score - 0.5) > 1e-9)
