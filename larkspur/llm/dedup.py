@@ -17,7 +17,7 @@
 6. Then buckets that still hold several components are compared between these, block by
    block: of the pairs that pass both tests, a block offers those of a spanning forest, those
    with most equal registers first. What is offered is verified, what fails is not offered
-   again, and rounds (with more and more forests) end when nothing is left to offer. So a
+   again, and blocks where something failed have another round, with more forests. So a
    large group of near copies costs a few links each, no pair that is not a link is
    written but the few that the tests let through, and no link between components is lost.
 
@@ -377,11 +377,14 @@ def _linked(docs: DataFrame, classes: DataFrame, bands: int, k: int, percent: in
     # First round: to the smallest class of each bucket.
     star = scratch.materialize(_star(shared.where("cid != centre").selectExpr("centre as a", "cid as b").distinct(), sets, m, percent), "pairs")
     links = _verified(star, sets, percent).where("ok").select("a", "b")
-    known, failed, forests = graph.components(links), None, 1
+    known, failed, todo, forests = graph.components(links), None, None, 1
 
-    # Further rounds: buckets that hold several components, between these, until nothing is offered.
+    # Further rounds: buckets that hold several components, between these. A block is done when all
+    # that it offered are links: what it did not offer lies within a component then.
     while True:
         own = scratch.materialize(shared.join(known.withColumnRenamed("node", "cid"), "cid", "left").selectExpr("key", "band", "cid", "coalesce(component, cid) as comp", "c"), "own")
+        if todo is not None:
+            own = own.join(todo.select("key").distinct(), "key", "left_semi")
         several = own.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most").select("key")
         blocks = (
             own.join(several, "key").join(sets.of("cid", "n", "regs", "odd"), "cid")
@@ -390,17 +393,20 @@ def _linked(docs: DataFrame, classes: DataFrame, bands: int, k: int, percent: in
             .selectExpr("*", "explode(sequence(0, blocks - 1)) as other")
             .selectExpr("key", "least(block, other) as lo", "greatest(block, other) as hi", "band", "block", "cid", "comp", "n_cid as n", "regs_cid as regs", "odd_cid as odd")
         )
-        if failed is not None:
-            blocks = blocks.unionByName(failed.selectExpr("key", "lo", "hi", "0 as band", "0 as block", "a as cid", "b as comp", "0L as n", "cast(null as binary) as regs", "cast(null as binary) as odd"))
+        if todo is not None:
+            blocks = blocks.join(todo, ["key", "lo", "hi"], "left_semi").unionByName(failed.join(todo, ["key", "lo", "hi"], "left_semi").selectExpr("key", "lo", "hi", "0 as band", "0 as block", "a as cid", "b as comp", "0L as n", "cast(null as binary) as regs", "cast(null as binary) as odd"))
         spread = blocks.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
         offered = scratch.materialize(spread.mapInArrow(lambda it, f=forests: _offers(it, m, ROWS, percent, f), "key bigint, lo int, hi int, a bigint, b bigint"), "offered")
         if offered.isEmpty():
             break
         tried = _verified(offered, sets, percent)
         links = links.unionByName(tried.where("ok").select("a", "b"))
+        known, forests = graph.components(links), min(64, forests * 4)
         fresh = tried.where("not ok").drop("ok")
         failed = fresh if failed is None else failed.unionByName(fresh)
-        known, forests = graph.components(links), min(64, forests * 4)
+        todo = scratch.materialize(fresh.select("key", "lo", "hi").distinct(), "todo")
+        if todo.isEmpty():
+            break
     sets.drop()
     return known
 
