@@ -60,30 +60,35 @@ REPAIRED = "greatest(q50, 0e0) as q50, least(greatest(q10, 0e0), greatest(q50, 0
 REPAIR = Step(("forecast",), lambda d: f"select series_id, origin, date_idx, horizon, model, {REPAIRED} from {{forecast}}")
 
 
-def adjustment_step(before: int, shrinkage: float = 30.0) -> Step:
-    """Signed conformal scores of origins before ``before``: the order statistic of rank
-    ceil((n + 1) * 4 / 5) per model and horizon, shrunk towards the model's own."""
+def adjustment_step(targets: tuple[int, ...], shrinkage: float = 30.0) -> Step:
+    """Signed conformal adjustments of each target origin, from the scores of all origins before
+    it: the order statistic of rank ceil((n + 1) * 4 / 5) per model and horizon, shrunk towards the
+    model's own. A fold counts from the next target on."""
 
     def sql(d: Dialect) -> str:
         rank = "least(n, (4 * (n + 1) + 4) div 5)" if d.spark else "least(n, (4 * (n + 1) + 4) // 5)"
+        rows = " union all ".join(f"select {o} as target_origin" for o in targets)
         return f"""
-        with e as (select f.model, f.horizon, greatest(q10 - t.demand, t.demand - q90) as score from {{forecast}} f join {{truth}} t on t.series_id = f.series_id and t.date_idx = f.date_idx where f.origin < {before}),
-        r as (select e.*, row_number() over (partition by model, horizon order by score) as i, count(*) over (partition by model, horizon) as n from e),
-        l as (select model, horizon, max(n) as n, max(case when i = {rank} then score end) as local_adjustment from r group by model, horizon),
-        q as (select e.*, row_number() over (partition by model order by score) as i, count(*) over (partition by model) as n from e),
-        p as (select model, max(case when i = {rank} then score end) as pooled_adjustment from q group by model)
-        select l.model, l.horizon, n / (n + {shrinkage}e0) * local_adjustment + (1e0 - n / (n + {shrinkage}e0)) * pooled_adjustment as adjustment, local_adjustment, pooled_adjustment,
+        with s as (select f.model, f.origin, f.horizon, greatest(q10 - t.demand, t.demand - q90) as score from {{forecast}} f join {{truth}} t on t.series_id = f.series_id and t.date_idx = f.date_idx),
+        e as (select target_origin, model, horizon, score from s join ({rows}) o on s.origin < o.target_origin),
+        r as (select e.*, row_number() over (partition by target_origin, model, horizon order by score) as i, count(*) over (partition by target_origin, model, horizon) as n from e),
+        l as (select target_origin, model, horizon, max(n) as n, max(case when i = {rank} then score end) as local_adjustment from r group by target_origin, model, horizon),
+        q as (select e.*, row_number() over (partition by target_origin, model order by score) as i, count(*) over (partition by target_origin, model) as n from e),
+        p as (select target_origin, model, max(case when i = {rank} then score end) as pooled_adjustment from q group by target_origin, model)
+        select l.target_origin, l.model, l.horizon, n / (n + {shrinkage}e0) * local_adjustment + (1e0 - n / (n + {shrinkage}e0)) * pooled_adjustment as adjustment, local_adjustment, pooled_adjustment,
                n / (n + {shrinkage}e0) as shrinkage_weight, n
-        from l join p on l.model = p.model"""
+        from l join p on l.model = p.model and l.target_origin = p.target_origin"""
 
     return Step(("forecast", "truth"), sql)
 
 
-def applied_step(since: int) -> Step:
+def applied_step(targets: tuple[int, ...]) -> Step:
+    """Forecasts of the target origins, each with the adjustments of its own origin."""
+
     def sql(d: Dialect) -> str:
         return f"""
         with a as (select f.series_id, f.origin, f.date_idx, f.horizon, f.model, greatest(q10 - coalesce(adjustment, 0e0), 0e0) as q10, q50, greatest(q90 + coalesce(adjustment, 0e0), q50) as q90
-                   from {{forecast}} f left join {{adjustment}} a on a.model = f.model and a.horizon = f.horizon where f.origin >= {since})
+                   from {{forecast}} f left join {{adjustment}} a on a.model = f.model and a.horizon = f.horizon and a.target_origin = f.origin where f.origin in ({", ".join(map(str, targets))}))
         select series_id, origin, date_idx, horizon, model, {REPAIRED} from a"""
 
     return Step(("forecast", "adjustment"), sql)
@@ -101,12 +106,12 @@ def repair_quantiles(forecast: DataFrame) -> DataFrame:
     return REPAIR.run(forecast=forecast)
 
 
-def fit_conformal_adjustments(forecast: DataFrame, truth: DataFrame, before: int) -> DataFrame:
-    return adjustment_step(before).run(forecast=forecast, truth=truth)
+def fit_conformal_adjustments(forecast: DataFrame, truth: DataFrame, targets: tuple[int, ...]) -> DataFrame:
+    return adjustment_step(tuple(targets)).run(forecast=forecast, truth=truth)
 
 
-def apply_conformal_adjustments(forecast: DataFrame, adjustment: DataFrame, since: int) -> DataFrame:
-    return applied_step(since).run(forecast=forecast, adjustment=adjustment)
+def apply_conformal_adjustments(forecast: DataFrame, adjustment: DataFrame, targets: tuple[int, ...]) -> DataFrame:
+    return applied_step(tuple(targets)).run(forecast=forecast, adjustment=adjustment)
 
 
 def _coverage(d: Dialect) -> str:
@@ -114,11 +119,13 @@ def _coverage(d: Dialect) -> str:
     return f"""
     with k as (select distinct series_id, date_idx from {{truth}}), m as (select distinct model from {{forecast}}),
     want as (select model, series_id, date_idx from m cross join k), got as (select distinct model, series_id, date_idx from {{forecast}}),
-    c as (select count(*) as row_count, {bad('q10 is null or q50 is null or q90 is null')} as null_quantiles, {bad('q10 < 0 or q50 < 0 or q90 < 0')} as negative_forecasts,
-                 {bad('q10 > q50 or q50 > q90')} as quantile_crossing, {bad('horizon < 1')} as bad_horizons from {{forecast}})
+    c as (select count(*) as row_count, {bad("not coalesce(abs(q10) < cast('infinity' as double) and abs(q50) < cast('infinity' as double) and abs(q90) < cast('infinity' as double), false)")} as null_quantiles, {bad('q10 < 0 or q50 < 0 or q90 < 0')} as negative_forecasts,
+                 {bad('q10 > q50 or q50 > q90')} as quantile_crossing, {bad('horizon is null or horizon < 1')} as bad_horizons,
+                 {bad('series_id is null or model is null or date_idx is null')} as null_ids from {{forecast}})
     select c.*, (select count(*) from want w where not exists (select 1 from got g where g.model = w.model and g.series_id = w.series_id and g.date_idx = w.date_idx)) as missing_keys,
            (select count(*) from got g where not exists (select 1 from want w where w.model = g.model and w.series_id = g.series_id and w.date_idx = g.date_idx)) as extra_keys,
-           (select count(*) from (select model, series_id, origin from {{forecast}} group by model, series_id, origin having max(horizon) <> count(distinct horizon) or count(distinct date_idx - horizon) <> 1) x) as broken_horizons
+           (select count(*) from (select model, series_id, origin from {{forecast}} group by model, series_id, origin having max(horizon) <> count(distinct horizon) or count(distinct date_idx - horizon) <> 1) x) as broken_horizons,
+           (select count(*) from (select 1 as one from {{forecast}} group by model, series_id, origin, date_idx having count(*) > 1) x) as duplicate_keys
     from c"""
 
 
@@ -131,6 +138,9 @@ def forecast_contract(forecast: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def validate_forecast(forecast: DataFrame, truth: DataFrame) -> None:
-    faults = {k: v for k, v in forecast_contract(forecast, truth).first().asDict().items() if k != "row_count" and v}
+    counts = forecast_contract(forecast, truth).first().asDict()
+    if not counts["row_count"]:
+        raise ValueError("forecast is empty")
+    faults = {k: v for k, v in counts.items() if k != "row_count" and v}
     if faults:
         raise ValueError(f"forecast breaks its contract: {faults}")

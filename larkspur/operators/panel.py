@@ -59,10 +59,12 @@ def impute_prices(panel: DataFrame) -> DataFrame:
 def _contract(d: Dialect) -> str:
     keys = "select series_id, date_idx, count(*) as n from {panel} group by series_id, date_idx having count(*) > 1"
     bad = lambda x: f"cast(count(case when {x} then 1 end) as bigint)"
+    # NaN is above infinity in both engines.
+    wrong = lambda x: f"{x} is null or {x} < 0 or not abs({x}) < cast('infinity' as double)"
     return f"""
     select count(*) as row_count, count(distinct series_id) as series_count, min(date_idx) as min_date, max(date_idx) as max_date,
-           {bad('series_id is null or category is null or store is null')} as null_ids, {bad('sales is null or demand is null or sales < 0 or demand < 0')} as bad_measures,
-           {bad('price is null or price < 0')} as bad_prices, {bad('stockout not in (0, 1) or promo not in (0, 1)')} as bad_flags, {bad('dow not between 0 and 6')} as bad_dow,
+           {bad('series_id is null or category is null or store is null or date_idx is null')} as null_ids, {bad(wrong('sales') + ' or ' + wrong('demand'))} as bad_measures,
+           {bad(wrong('price'))} as bad_prices, {bad('stockout is null or promo is null or stockout not in (0, 1) or promo not in (0, 1)')} as bad_flags, {bad('dow is null or dow not between 0 and 6')} as bad_dow,
            {bad('demand < sales - 1e-9')} as demand_below_sales,
            (select count(*) from ({keys}) k) as duplicate_keys,
            (select count(*) from (select series_id from {{panel}} group by series_id having count(*) < 10) s) as short_series,

@@ -126,6 +126,9 @@ SUMMARY = Step(("simulation",), lambda d: f"""
 TUNING = Step(("summary",), lambda d: f"""
     select s.*, fill_rate >= (select max(fill_rate) from {{summary}} where model = '{BASELINE}' and policy_scale = 1e0) - 1e-2 as meets_fill_guardrail from {{summary}} s""")
 
+#: Of a simulation over a grid of scales, the runs of each model at its chosen one.
+AT_BEST_SCALE = Step(("grid", "best"), lambda d: "select g.* from {grid} g join {best} b on b.model = g.model and b.policy_scale = g.policy_scale")
+
 BEST_POLICY = Step(("tuning",), lambda d: f"""
     with b as (select fill_rate from (select fill_rate, row_number() over (order by case when meets_fill_guardrail then 0 else 1 end, round(total_cost, 9), policy_scale) as r from {{tuning}} where model = '{BASELINE}') x where r = 1),
     f as (select t.*, b.fill_rate as baseline_fill_rate, t.fill_rate >= b.fill_rate as feasible from {{tuning}} t cross join b),

@@ -54,8 +54,8 @@ GRAPH: dict[str, Node] = {
     "both": _node(forecasting.UNION, a="seasonal", b="smoothed"),
     "raw": _node(forecasting.REPAIR, True, forecast="both"),
     "truth": _node(_select("select series_id, date_idx, demand, category, store, promo, stockout, drat_state from {x}"), x="regimes"),
-    "adjustment": _node(forecasting.adjustment_step(VALIDATION[0]), forecast="raw", truth="truth"),
-    "applied": _node(forecasting.applied_step(VALIDATION[0]), forecast="raw", adjustment="adjustment"),
+    "adjustment": _node(forecasting.adjustment_step(VALIDATION + TEST), forecast="raw", truth="truth"),
+    "applied": _node(forecasting.applied_step(VALIDATION + TEST), forecast="raw", adjustment="adjustment"),
     "calibrated": _node(_select(f"select * from {{x}} where origin in {VALIDATION}"), True, x="applied"),
     "window": _node(_select(f"select series_id, date_idx, demand from {{x}} where date_idx > {VALIDATION[0]} and date_idx <= {VALIDATION[-1] + HORIZON}"), x="truth"),
     "coverage": _node(forecasting.KEY_COVERAGE, forecast="calibrated", truth="window"),
@@ -75,7 +75,8 @@ GRAPH: dict[str, Node] = {
     "tuning": _node(simulation.TUNING, summary="kpis"),
     "best": _node(simulation.BEST_POLICY, tuning="tuning"),
     "wins": _node(simulation.WIN_RATE, simulation="grid"),
-    "decision": _node(evaluation.decision_router_step(), forecast="calibrated", truth="truth", simulation="simulated"),
+    "tuned": _node(simulation.AT_BEST_SCALE, grid="grid", best="best"),
+    "decision": _node(evaluation.decision_router_step(), forecast="calibrated", truth="truth", simulation="tuned"),
     "routed": _node(evaluation.ROUTED, forecast="calibrated", routing="decision"),
     "routing": _node(evaluation.ROUTING_SUMMARY, routing="decision"),
     "tested": _node(_select(f"select * from {{x}} where origin = {TEST[0]} and model = 'tsb'"), x="applied"),
@@ -122,9 +123,9 @@ OUTPUTS: dict[str, tuple[str, str]] = {
     "seasonal_naive": ("seasonal", _F),
     "tsb": ("smoothed", _F),
     "repaired_forecasts": ("raw", _F),
-    "conformal_adjustments": ("adjustment", "model, horizon, ~adjustment, ~local_adjustment, ~pooled_adjustment, ~shrinkage_weight, n"),
+    "conformal_adjustments": ("adjustment", "target_origin, model, horizon, ~adjustment, ~local_adjustment, ~pooled_adjustment, ~shrinkage_weight, n"),
     "conformal_applied": ("applied", _F),
-    "forecast_key_coverage": ("coverage", "row_count, null_quantiles, negative_forecasts, quantile_crossing, bad_horizons, missing_keys, extra_keys, broken_horizons"),
+    "forecast_key_coverage": ("coverage", "row_count, null_quantiles, negative_forecasts, quantile_crossing, bad_horizons, missing_keys, extra_keys, broken_horizons, null_ids, duplicate_keys"),
     "forecast_metrics": ("metrics", "model, n, ~wape, ~signed_bias, ~coverage_80, ~mean_interval_width, ~pinball_10, ~pinball_50, ~pinball_90"),
     "validation_slices": ("slices", _SLICES),
     "slice_report": ("one_slice", _SLICES),
@@ -155,7 +156,7 @@ OUTPUTS: dict[str, tuple[str, str]] = {
 }
 
 #: Ids, flags and counts have one type in both engines.
-_INTS = {"date_idx", "origin", "horizon", "stockout", "promo", "dow", "controlled_stockout", "draw", "future_dow", "future_promo", "scenario", "cycle", "known_event", "persistent_signal", "stockout_streak", "decision_eligible", "is_review_period", "min_date", "max_date"}
+_INTS = {"date_idx", "target_origin", "origin", "horizon", "stockout", "promo", "dow", "controlled_stockout", "draw", "future_dow", "future_promo", "scenario", "cycle", "known_event", "persistent_signal", "stockout_streak", "decision_eligible", "is_review_period", "min_date", "max_date"}
 _LONGS = {"n", "row_count", "series_count", "n_series", "n_slices", "n_scenarios", "negative_values", "evaluated_days", "n_validation_rows", "n_controlled", "duplicate_keys", "short_series", "broken_series", "unaligned_bounds", "missing_keys", "extra_keys", "broken_horizons"}
 
 

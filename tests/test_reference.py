@@ -95,12 +95,50 @@ def test_repair_and_conformal(spark):
     assert [(r.q10, r.q50, r.q90) for r in forecasting.repair_quantiles(f).orderBy("horizon").collect()] == [(10.0, 10.0, 10.0), (1.0, 5.0, 5.0)]
     f = spark.createDataFrame([("a", 0, i, 1, 0.0, 10.0, 20.0, "m") for i in range(5)], f.schema)
     truth = spark.createDataFrame([("a", i, y) for i, y in enumerate((9.0, 10.0, 11.0, 10.0, 9.5))], "series_id string, date_idx int, demand double")
-    adjust = forecasting.fit_conformal_adjustments(f, truth, before=1)
+    adjust = forecasting.fit_conformal_adjustments(f, truth, (7,))
     assert adjust.first().adjustment < 0
-    r = forecasting.apply_conformal_adjustments(f, adjust, since=0).first()
+    r = forecasting.apply_conformal_adjustments(f.selectExpr("series_id", "7 as origin", "date_idx", "horizon", "q10", "q50", "q90", "model"), adjust, (7,)).first()
     assert r.q10 > 0 and r.q90 < 20
 
 
+def test_conformal_folds_count_from_the_next_origin_on(spark):
+    """Scores by hand: of n of them, the one of rank ceil((n + 1) * 4 / 5), shrunk by n / (n + 30)."""
+    scores = {10: [-3.0, 1.0], 20: [5.0, 2.0], 30: [9.0, 9.0]}  # of horizons 1 and 2
+    rows = [("a", o, o + h, h, 100.0, 100.0, 100.0 + 0.0, "m") for o in scores for h in (1, 2)]
+    f = spark.createDataFrame(rows, "series_id string, origin int, date_idx int, horizon int, q10 double, q50 double, q90 double, model string")
+    truth = spark.createDataFrame([("a", o + h, 100.0 + abs(scores[o][h - 1])) for o in scores for h in (1, 2)], "series_id string, date_idx int, demand double")
+    got = {(r.target_origin, r.horizon): r for r in forecasting.fit_conformal_adjustments(f, truth, (20, 30)).collect()}
+    assert {k: (r.n, r.local_adjustment, r.pooled_adjustment) for k, r in got.items()} == {(20, 1): (1, 3.0, 3.0), (20, 2): (1, 1.0, 3.0), (30, 1): (2, 5.0, 5.0), (30, 2): (2, 2.0, 5.0)}
+    assert got[30, 2].adjustment == pytest.approx(2 / 32 * 2.0 + 30 / 32 * 5.0)
+    applied = forecasting.apply_conformal_adjustments(f, forecasting.fit_conformal_adjustments(f, truth, (20, 30)), (20, 30)).collect()
+    assert {(r.origin, r.horizon): r.q90 - 100 for r in applied} == pytest.approx({(o, h): got[o, h].adjustment for o, h in got})
+    used = catalogue.QUERIES["conformal_adjustments"](spark, SF).groupBy("target_origin").agg({"n": "max"}).collect()
+    n = {r[0]: r[1] for r in used}
+    assert n[195] == 2 * n[181] and n[209] == 3 * n[181]
+
+
+@pytest.mark.parametrize("column, value", [("sales", float("nan")), ("demand", float("inf")), ("price", float("nan")), ("price", None), ("stockout", None), ("dow", None), ("date_idx", None)])
+def test_panel_contract_refuses(spark, column, value):
+    from pyspark.sql import functions as F
+
+    good = make_panel(spark, {"a": range(12)})
+    panel.validate_panel(good)
+    bad = good.withColumn(column, F.when(F.col("date_idx") == 5, F.lit(value).cast(good.schema[column].dataType)).otherwise(F.col(column)))
+    with pytest.raises(ValueError):
+        panel.validate_panel(bad)
+
+
+@pytest.mark.parametrize("change", ["nan", "inf", "twice", "empty", "no id"])
+def test_forecast_contract_refuses(spark, change):
+    rows = [("a", 0, h, h, 1.0, 2.0, 3.0, "m") for h in (1, 2)]
+    shape = "series_id string, origin int, date_idx int, horizon int, q10 double, q50 double, q90 double, model string"
+    truth = spark.createDataFrame([("a", 1), ("a", 2)], "series_id string, date_idx int")
+    forecasting.validate_forecast(spark.createDataFrame(rows, shape), truth)
+    bad = {"nan": [rows[0], (*rows[1][:6], float("nan"), "m")], "inf": [rows[0], (*rows[1][:6], float("inf"), "m")], "twice": [*rows, rows[1]], "empty": [], "no id": [*rows, (None, *rows[1][1:])]}[change]
+    with pytest.raises(ValueError):
+        forecasting.validate_forecast(spark.createDataFrame(bad, shape), truth)
+
+
 def simulate(spark, q, n, cfg, demand=1.0):
     f = spark.createDataFrame([("seasonal_naive", "a", 0, i, i + 1, *map(float, q[i] if isinstance(q, list) else q)) for i in range(n)], "model string, series_id string, origin int, date_idx int, horizon int, q10 double, q50 double, q90 double")
     truth = spark.createDataFrame([("a", i, demand) for i in range(n)], "series_id string, date_idx int, demand double")
