@@ -13,8 +13,9 @@
 Bounds are loosened by far more than rounding, and scores are exact integers, so the result
 is that of comparing everything, ties included.
 
-Defined results: a vector that is null, empty, or has a null or non-finite component, or one
-of 2^26 or more after scaling, takes no part, as query or candidate; shorter vectors count
+Defined results: a vector that is null, empty, or has a null or non-finite component takes no
+part, as query or candidate; components and scores beyond 64 bits become the largest or
+smallest that fits; shorter vectors count
 as if padded by zeros; each row is a vector of its own, so rows that repeat an id are
 candidates of each other and each a query; a null id is no query and comes last among ties;
 an empty table gives an empty result; other columns are not read.
@@ -35,10 +36,12 @@ BLOCK = 4096
 CELL = 4
 SHARE = 4
 _NO_ID = 2**63 - 1
+#: The largest component: a double below 2^63.
+MOST = 2.0**63 - 1024
 
 
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(row, vec_id, v, norm2): integer vectors that take part; v is little-endian int32."""
+    """(row, vec_id, v, norm2): integer vectors that take part; v is little-endian int64."""
     import pyarrow as pa
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,24 +52,26 @@ def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
             for row, vec_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if not x or None in x:
                     continue
-                v = np.floor(scale * np.array(x, dtype=np.float64))
-                if np.isfinite(v).all() and np.abs(v).max() < 2**26:
-                    rows.append((row, _NO_ID if vec_id is None else vec_id, v.astype("<i4").tobytes(), int((v.astype(np.int64) ** 2).sum()), len(v)))
+                x = np.array(x, dtype=np.float64)
+                if np.isfinite(x).all():
+                    with np.errstate(over="ignore"):
+                        v = np.floor(np.clip(scale * x, -MOST, MOST))
+                    rows.append((row, _NO_ID if vec_id is None else vec_id, v.astype("<i8").tobytes(), float((v**2).sum()), len(v)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["row", "vec_id", "v", "norm2", "dims"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.int32()), strict=True)], names=["row", "vec_id", "v", "norm2", "dims"])
 
     source = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.col("embedding").cast("array<double>"))
-    return scratch.materialize(source.mapInArrow(work, "row bigint, vec_id bigint, v binary, norm2 bigint, dims int"), "vectors")
+    return scratch.materialize(source.mapInArrow(work, "row bigint, vec_id bigint, v binary, norm2 double, dims int"), "vectors")
 
 
 def _matrix(blobs, dims: int):
     import numpy as np
 
-    if all(len(b) == 4 * dims for b in blobs):
-        return np.frombuffer(b"".join(blobs), dtype="<i4").reshape(-1, dims)
-    out = np.zeros((len(blobs), dims), dtype="<i4")
+    if all(len(b) == 8 * dims for b in blobs):
+        return np.frombuffer(b"".join(blobs), dtype="<i8").reshape(-1, dims)
+    out = np.zeros((len(blobs), dims), dtype="<i8")
     for i, b in enumerate(blobs):
-        out[i, : len(b) // 4] = np.frombuffer(b, dtype="<i4")
+        out[i, : len(b) // 8] = np.frombuffer(b, dtype="<i8")
     return out
 
 
@@ -121,21 +126,41 @@ class _Block:
         import numpy as np
 
         self.rows, self.ids = np.asarray(rows, dtype=np.int64), np.asarray(ids, dtype=np.int64)
-        self.exact = _matrix(vs, dims).astype(np.float64)
-        turned = self.exact @ axes
+        self.exact = _matrix(vs, dims)
+        plain = self.exact.astype(np.float64)
+        turned = plain @ axes
         h = max(1, dims // SHARE)
         self.head = turned[:, :h]
-        self.norm = np.sqrt((self.exact**2).sum(axis=1))
+        self.norm = np.sqrt((plain**2).sum(axis=1))
         self.rest = np.sqrt(np.maximum(self.norm**2 - (self.head**2).sum(axis=1), 0)) + 1e-6 * (1 + self.norm)
 
 
+def _reach(q, c) -> float:
+    import numpy as np
+
+    return float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+
+
+def _fitted(x):
+    """Python integers as 64-bit ones."""
+    import numpy as np
+
+    return np.clip(x, -(2**63), 2**63 - 1).astype(np.int64)
+
+
 def _products(q, c):
-    """Exact integer products of two float matrices of integers."""
+    """Exact products of two integer matrices, by the narrowest arithmetic that holds them."""
     import numpy as np
 
-    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < 2**53:
-        return (q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    reach = _reach(q, c)
+    if reach < 2**53:
+        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+    return q @ c.T if reach < 2**62 else _fitted(q.astype(object) @ c.astype(object).T)
+
+
+def _row_products(q, c):
+    """Exact products row by row."""
+    return (q * c).sum(axis=1) if _reach(q, c) < 2**62 else _fitted((q.astype(object) * c.astype(object)).sum(axis=1))
 
 
 class _Best:
@@ -157,7 +182,7 @@ class _Best:
             return
         bound = q.head[active] @ c.head.T
         bound += q.rest[active, None] * c.rest[None, :]
-        bound += 1e-3
+        bound += 1e-3 + 1e-9 * q.norm[active, None] * c.norm[None, :]
         mask = bound >= self.floor[active, None]
         if mask.mean() > 0.02:
             score = _products(q.exact[active], c.exact)
@@ -166,7 +191,7 @@ class _Best:
             s = score[i, j]
         else:
             i, j = np.nonzero(mask)
-            s = np.concatenate([(q.exact[active[i[x : x + 65536]]].astype(np.int64) * c.exact[j[x : x + 65536]].astype(np.int64)).sum(axis=1) for x in range(0, max(len(i), 1), 65536)])
+            s = np.concatenate([_row_products(q.exact[active[i[x : x + 65536]]], c.exact[j[x : x + 65536]]) for x in range(0, max(len(i), 1), 65536)])
         keep = (q.rows[active[i]] != c.rows[j]) & (s >= self.floor[active[i]])
         i, j, s = active[i[keep]], j[keep], s[keep]
         order = np.lexsort((c.rows[j], c.ids[j], -s, i))
@@ -178,7 +203,7 @@ class _Best:
             best = sorted(self.found[x])[: self.k]
             self.found[x] = best
             if len(best) == self.k:
-                self.floor[x] = max(self.floor[x], -best[-1][0])
+                self.floor[x] = max(self.floor[x], np.nextafter(float(-best[-1][0]), -np.inf))
 
 
 def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = SCALE) -> DataFrame:

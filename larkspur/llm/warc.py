@@ -68,11 +68,31 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
     return "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+#: Field names that are read, as the standard spells them.
+WARC_FIELDS = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Payload-Digest", "Content-Type", "Content-Length")
+_PROPER = {f.lower(): f for f in WARC_FIELDS}
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """Fields, HTTP header and payload of one record."""
+    """Fields (names as in WARC_FIELDS, whatever their case), HTTP header and payload of one record.
+
+    Lines that begin with white space continue the field before; a line without a colon is
+    left out. A block that is no HTTP message is all payload.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+    fields: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = _PROPER.get(name.strip().lower(), name.strip())
+            fields[name] = value.strip()
+    block = rest[: int(fields["Content-Length"])]
+    if not fields.get("Content-Type", "").lower().replace(" ", "").startswith("application/http"):
+        return fields, b"", block
+    http, _, payload = block.partition(b"\r\n\r\n")
     return fields, http, payload
 
 
@@ -177,15 +197,17 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def read_records(archives: DataFrame, uri: str) -> DataFrame:
-    """One row per record of normalised ``archives`` (path, index), read member by member.
+    """One row per response or revisit of normalised ``archives`` (path, index), read member by member.
 
-    A response's payload is held against its digest.
+    A response's payload is held against its digest, where it has one, and gets its own else;
+    records of other kinds (warcinfo, request, metadata) give no row. Only ids of the form
+    ``<urn:page:n>`` are page ids.
     """
     import pyarrow as pa
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _fs(uri)
-        number = lambda x: int(x.rpartition(":")[2].rstrip(">")) if x else None
+        number = lambda x: int(x[10:-1]) if x and x.startswith("<urn:page:") else None
         for batch in batches:
             for path, index in zip(batch.column("path").to_pylist(), batch.column("index").to_pylist(), strict=True):
                 rows = []
@@ -193,9 +215,14 @@ def read_records(archives: DataFrame, uri: str) -> DataFrame:
                     for line in lines.read().splitlines():
                         at = json.loads(line)
                         fields, http, payload = parse_record(zlib.decompress(source.read_at(at["length"], at["offset"]), 31))
-                        digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
-                        size = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
-                        if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+                        kind = fields.get("WARC-Type", "").lower()
+                        if kind not in ("response", "revisit"):
+                            continue
+                        said = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                        size = int(said[0]) if said else len(payload)
+                        own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                        algorithm, _, digest = fields.get("WARC-Payload-Digest", f"sha1:{own}").rpartition(":")
+                        if kind == "response" and (len(payload) != size or algorithm.lower() == "sha1" and digest != own):
                             raise ValueError(f"{path} at {at['offset']}: the payload differs from its digest")
                         rows.append((number(fields.get("WARC-Record-ID")), size, digest, kind, number(fields.get("WARC-Refers-To"))))
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())

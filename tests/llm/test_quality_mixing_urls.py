@@ -149,3 +149,12 @@ def test_stages_keep_columns_of_any_name(spark):
         assert got.columns == more.columns
         assert sorted(map(str, got.select(docs.columns).collect())) == sorted(map(str, stage(docs).collect()))
         assert stage(more.limit(0)).count() == 0
+
+
+def test_foreign_records_are_parsed():
+    """Fields without a space, folded lines, other case, and blocks that are no HTTP message."""
+    info = b"WARC/1.0\r\nWARC-Type:warcinfo\r\nX-Long: a\r\n\tb\r\ncontent-length:5\r\nContent-Type:application/warc-fields\r\n\r\nx: y\n\r\n\r\n"
+    fields, http, payload = warc.parse_record(info)
+    assert (fields["WARC-Type"], fields["X-Long"], fields["Content-Length"], http, payload) == ("warcinfo", "a b", "5", b"", b"x: y\n")
+    fields, http, payload = warc.parse_record(warc.record_bytes(7, "u", b"<p>", None))
+    assert (fields["WARC-Record-ID"], payload) == ("<urn:page:7>", b"<p>") and http.startswith(b"HTTP/1.1")

@@ -42,3 +42,17 @@ def test_small_tables(spark):
     assert topk.top_products(spark.createDataFrame([], shape)).count() == 0
     assert topk.top_products(spark.createDataFrame([(0, [1.0])], shape)).count() == 0
     assert got(topk.top_products(spark.createDataFrame([(0, [1.0]), (1, [-1.0])], shape))) == [(0, 1, 1, -65536)]
+
+
+def test_components_of_any_finite_size(spark):
+    """Large components are neither dropped nor rounded; what is beyond 64 bits is cut to them."""
+    rows = [(0, [300000.0, 1.0]), (1, [1.0, 2.0]), (2, [2.0**40, 1 / 256]), (3, [-1e300, 0.0]), (50, [2.0**20, 3.0])]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    v = {i: [max(-(2**63) + 1024, int(256 * c // 1)) for c in x] for i, x in rows}
+    fit = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = []
+    for q in (0, 50):
+        best = sorted((-fit(sum(a * b for a, b in zip(v[q], v[c], strict=True))), c) for c in v if c != q)
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best[:5])]
+    got = topk.top_products(docs).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
