@@ -102,9 +102,7 @@ def balanced_sample(panel: DataFrame, max_rows: int = 5000) -> DataFrame:
 
 def balanced(max_rows: int) -> Step:
     def sql(d: Dialect) -> str:
-        rounded = "bround" if d.spark else "round_even"
         half = (lambda x: f"bround({x})") if d.spark else (lambda x: f"round_even({x}, 0)")
-        del rounded
         return f"""
         with n as (select p.*, row_number() over (partition by series_id order by date_idx) - 1 as i, count(*) over (partition by series_id) as m from {{panel}} p),
         c as (select count(distinct series_id) as s, count(*) as r from {{panel}}),
