@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.operators import censoring, closed_loop, evaluation, features, forecasting, lifecycle, panel, simulation
+from larkspur.operators import censoring, closed_loop, evaluation, features, forecasting, lifecycle, panel, release, simulation
 from larkspur.operators.quantile_boosting import direct_quantile_forecast
 
 from .steps import TABLES, Node, oracle, resolve
@@ -55,7 +55,7 @@ GRAPH: dict[str, Node] = {
     "raw": _node(forecasting.REPAIR, True, forecast="both"),
     "truth": _node(_select("select series_id, date_idx, demand, category, store, promo, stockout, drat_state from {x}"), x="regimes"),
     "adjustment": _node(forecasting.adjustment_step(VALIDATION + TEST), forecast="raw", truth="truth"),
-    "applied": _node(forecasting.applied_step(VALIDATION + TEST), forecast="raw", adjustment="adjustment"),
+    "applied": _node(forecasting.applied_step(VALIDATION + TEST), True, forecast="raw", adjustment="adjustment"),
     "calibrated": _node(_select(f"select * from {{x}} where origin in {VALIDATION}"), True, x="applied"),
     "window": _node(_select(f"select series_id, date_idx, demand from {{x}} where date_idx > {VALIDATION[0]} and date_idx <= {VALIDATION[-1] + HORIZON}"), x="truth"),
     "coverage": _node(forecasting.KEY_COVERAGE, forecast="calibrated", truth="window"),
@@ -90,6 +90,48 @@ GRAPH: dict[str, Node] = {
     "replay_comparison": _node(closed_loop.SLICE_COMPARISON, slices="replay_slices"),
     "sweep": _node(closed_loop.replay_step(CFG, safeties=closed_loop.SAFETIES), paths="loops"),
     "sweep_summary": _node(closed_loop.REPLAY_SUMMARY, replay="sweep"),
+    "replay_worst": _node(release.REPLAY_SLICE_SUMMARY, slices="replay_comparison"),
+    "path_error": _node(release.PATH_ERROR, nodes="path_nodes"),
+    "policy_at_scale": _node(release.at_scale_step(1.0), tuning="all_tuning"),
+    # Sources and router, tuned and chosen on the validation folds.
+    "validated": _node(release.WITH_ROUTER, forecast="calibrated", routed="routed"),
+    "router_grid": _node(simulation.open_loop_step(CFG, simulation.SCALES), True, forecast="routed", truth="truth", initial="initial"),
+    "all_grid": _node(release.STACKED, a="grid", b="router_grid"),
+    "all_kpis": _node(simulation.SUMMARY, simulation="all_grid"),
+    "all_tuning": _node(simulation.TUNING, True, summary="all_kpis"),
+    "chosen_scales": _node(simulation.BEST_POLICY, tuning="all_tuning"),
+    "chosen_runs": _node(simulation.AT_BEST_SCALE, grid="all_grid", best="chosen_scales"),
+    "chosen_kpis": _node(simulation.SUMMARY, simulation="chosen_runs"),
+    "policies": _node(release.POLICIES, True, summary="chosen_kpis", simulation="chosen_runs"),
+    "all_metrics": _node(evaluation.MODEL_METRICS, forecast="validated", truth="truth"),
+    "all_slices": _node(evaluation.slice_step(), forecast="validated", truth="truth"),
+    "all_worst": _node(evaluation.SLICE_SUMMARY, slices="all_slices"),
+    "selection": _node(release.selection_step(), True, metrics="all_metrics", policies="policies", slices="all_worst"),
+    # Held-out fold: the chosen model as the candidate, at the scales of the validation.
+    "held_out": _node(release.held_out_step(TEST[0]), True, applied="applied", routing="decision", selection="selection"),
+    "held_window": _node(_select(f"select series_id, date_idx, demand from {{x}} where date_idx > {TEST[0]} and date_idx <= {TEST[0] + HORIZON}"), x="truth"),
+    "held_coverage": _node(forecasting.KEY_COVERAGE, forecast="held_out", truth="held_window"),
+    "held_metrics": _node(evaluation.MODEL_METRICS, forecast="held_out", truth="truth"),
+    "held_slices": _node(evaluation.slice_step(candidate=release.CANDIDATE), forecast="held_out", truth="truth"),
+    "held_worst": _node(evaluation.SLICE_SUMMARY, slices="held_slices"),
+    "held_nodes": _node(evaluation.POINT_NODES, forecast="held_out", metadata="truth"),
+    "held_node_error": _node(evaluation.NODE_ERROR, nodes="held_nodes"),
+    "held_initial": _node(simulation.initial_step(CFG), forecast="held_out"),
+    "held_scales": _node(release.SCALES_OF, policies="policies", selection="selection"),
+    "held_grid": _node(simulation.open_loop_step(CFG, simulation.SCALES), forecast="held_out", truth="truth", initial="held_initial"),
+    "held_runs": _node(simulation.AT_BEST_SCALE, True, grid="held_grid", best="held_scales"),
+    "held_kpis": _node(simulation.SUMMARY, simulation="held_runs"),
+    "held_policies": _node(release.POLICIES, True, summary="held_kpis", simulation="held_runs"),
+    "candidate": _node(_select(f"select * from {{x}} where model = '{release.CANDIDATE}'"), x="held_out"),
+    "candidate_paths": _node(simulation.paths_step(), True, forecast="candidate"),
+    "candidate_scores": _node(simulation.PATH_DIAGNOSTICS, scenarios="candidate_paths"),
+    "candidate_nodes": _node(evaluation.PATH_NODES, forecast="candidate_paths", metadata="truth"),
+    "candidate_error": _node(release.PATH_ERROR, nodes="candidate_nodes"),
+    "gate_metrics": _node(
+        release.GATE_METRICS, True, coverage="held_coverage", metrics="held_metrics", slices="held_worst", node_error="held_node_error", path_error="candidate_error", path_scores="candidate_scores",
+        recovered="recovered", recovery="recovery", lifecycle="life_scores", summary="held_policies", policies="held_policies", replay="replay_summary", replay_slices="replay_worst",
+    ),
+    "gate": _node(release.gate_step(), values="gate_metrics"),
     "daily": _node(simulation.DAILY_MART, panel="recovered", regimes="regimes"),
     "kpi_mart": _node(simulation.KPI_MART, simulation="grid"),
 }
@@ -151,13 +193,22 @@ OUTPUTS: dict[str, tuple[str, str]] = {
     "closed_loop_slices": ("replay_slices", "policy, scenario_type, ~total_cost, ~lost_sales, ~fill_rate, ~stockout_rate, ~average_inventory"),
     "closed_loop_slice_compare": ("replay_comparison", "scenario_type, ~baseline_cost, ~candidate_cost, ~relative_cost_regression, ~baseline_lost_sales, ~candidate_lost_sales, ~fill_rate_degradation, ~stockout_rate_degradation"),
     "safety_sweep": ("sweep_summary", _REPLAY),
+    "closed_loop_slice_summary": ("replay_worst", "n_slices, ~worst_relative_cost_regression, worst_cost_slice, ~worst_fill_rate_degradation, worst_fill_slice"),
+    "scenario_hierarchy_error": ("path_error", "~scenario_hierarchy_error"),
+    "policy_at_scale": ("policy_at_scale", _KPI),
+    "selected_policy": ("policies", _KPI + ", ~cost_win_rate_vs_baseline"),
+    "candidate_selection": ("selection", "selected_model, policy_scale, ~wape, ~worst_slice_regression, ~fill_rate, ~total_cost, ~cost_win_rate_vs_baseline"),
+    "held_out_forecast": ("held_out", _F),
+    "held_out_metrics": ("held_metrics", "model, n, ~wape, ~signed_bias, ~coverage_80, ~mean_interval_width, ~pinball_10, ~pinball_50, ~pinball_90"),
+    "held_out_policy": ("held_policies", _KPI + ", ~cost_win_rate_vs_baseline"),
+    "release_gate": ("gate", "check_name, ~value, critical, holds, gate_status"),
     "mart_daily_demand": ("daily", "series_id, date_idx, category, store, ~sales, ~demand, stockout, promo, ~price, ~recovered_demand_mean, drat_state, ~drat_entropy, ~sql_lag_1, ~sql_roll_mean_7"),
     "mart_inventory_kpi": ("kpi_mart", "model, series_id, evaluated_days, ~total_demand, ~total_sales, ~total_lost_sales, ~total_cost, ~average_inventory, ~stockout_rate, ~fill_rate"),
 }
 
 #: Ids, flags and counts have one type in both engines.
 _INTS = {"date_idx", "target_origin", "origin", "horizon", "stockout", "promo", "dow", "controlled_stockout", "draw", "future_dow", "future_promo", "scenario", "cycle", "known_event", "persistent_signal", "stockout_streak", "decision_eligible", "is_review_period", "min_date", "max_date"}
-_LONGS = {"n", "row_count", "series_count", "n_series", "n_slices", "n_scenarios", "negative_values", "evaluated_days", "n_validation_rows", "n_controlled", "duplicate_keys", "short_series", "broken_series", "unaligned_bounds", "missing_keys", "extra_keys", "broken_horizons"}
+_LONGS = {"n", "row_count", "series_count", "n_series", "n_slices", "n_scenarios", "negative_values", "evaluated_days", "n_validation_rows", "n_controlled", "duplicate_keys", "short_series", "broken_series", "unaligned_bounds", "missing_keys", "extra_keys", "broken_horizons", "critical", "holds"}
 
 
 def _columns(text: str) -> list[str]:
@@ -185,7 +236,7 @@ QUERIES = {name: partial(_run, node, columns) for name, (node, columns) in OUTPU
 
 def direct_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees at the test origin; no SQL can state them, tests hold them against the baseline."""
-    return direct_quantile_forecast(resolve(GRAPH, "featured", spark, sf_dir), TEST, HORIZON, max_rows=20_000)
+    return direct_quantile_forecast(resolve(GRAPH, "featured", spark, sf_dir), TEST, HORIZON)
 
 
 QUERIES["direct_quantile_forecast"] = direct_quantile

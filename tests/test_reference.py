@@ -238,3 +238,45 @@ def test_foundation_frames(spark):
 
     rows = foundation.forecast_with(df, 50, 7, predict, "mock", "sales").collect()
     assert len(rows) == 28 and all(r.q50 == 50.0 and r.date_idx == 50 + r.horizon for r in rows)
+
+
+def test_selection_and_gate_queries_match_the_functions(spark):
+    """The selection as a query against ``choose_candidate``, the gate's rows against ``evaluate_release``."""
+    import random
+
+    from larkspur.operators import gates, release
+
+    rng, models = random.Random(5), ["seasonal_naive", "tsb", "reliability_router"]
+    for _ in range(6):
+        metrics = {m: {"wape": rng.uniform(0.2, 0.26), "mean_interval_width": rng.uniform(1, 1.6)} for m in models}
+        inventory = {m: {"fill_rate": rng.uniform(0.9, 0.95), "total_cost": rng.uniform(100, 115), "cost_win_rate_vs_baseline": rng.choice([0.4, 0.6])} for m in models}
+        slices = {m: {"worst_relative_wape_regression": 0.0 if m == models[0] else rng.uniform(0, 0.4)} for m in models}
+        want = gates.choose_candidate(metrics, inventory, slices)
+        frame = lambda rows, names: spark.createDataFrame(rows, names)
+        got = release.selection_step().run(
+            metrics=frame([(m, *metrics[m].values()) for m in models], "model string, wape double, mean_interval_width double"),
+            policies=frame([(m, *inventory[m].values(), 1.0) for m in models], "model string, fill_rate double, total_cost double, cost_win_rate_vs_baseline double, policy_scale double"),
+            slices=frame([(m, *slices[m].values()) for m in models[1:]], "model string, worst_relative_wape_regression double"),
+        )
+        assert [r.selected_model for r in got.collect()] == [want]
+
+    def status(**changed):
+        good = {n: c.least if c.least is not None else c.most for n, c in gates.CHECKS.items()} | changed
+        nested: dict = {}
+        for n, c in gates.CHECKS.items():
+            at = nested
+            *path, last = c.path.split(".")
+            for p in path:
+                at = at.setdefault(p, {})
+            at[last] = good[n]
+        values = spark.createDataFrame([tuple(None if v is None else float(v) for v in good.values())], ", ".join(f"{n} double" for n in good))
+        rows = release.gate_step().run(values=values).collect()
+        want = gates.evaluate_release(nested)
+        assert {r.check_name: bool(r.holds) for r in rows} == want["checks"]
+        assert {r.gate_status for r in rows} == {want["gate_status"]}
+        return want["gate_status"]
+
+    assert status() == "PASS"
+    assert status(candidate_wape=None) == "ITERATE"
+    assert status(closed_loop_cost=0.2) == "ITERATE"
+    assert status(hierarchy_coherence=1.0) == "FAIL"
