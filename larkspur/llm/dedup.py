@@ -382,9 +382,8 @@ def _linked(docs: DataFrame, classes: DataFrame, bands: int, k: int, percent: in
     # Further rounds: buckets that hold several components, between these. A block is done when all
     # that it offered are links: what it did not offer lies within a component then.
     while True:
-        own = scratch.materialize(shared.join(known.withColumnRenamed("node", "cid"), "cid", "left").selectExpr("key", "band", "cid", "coalesce(component, cid) as comp", "c"), "own")
-        if todo is not None:
-            own = own.join(todo.select("key").distinct(), "key", "left_semi")
+        open_ = shared if todo is None else shared.join(todo.select("key").distinct(), "key", "left_semi")
+        own = scratch.materialize(open_.join(known.withColumnRenamed("node", "cid"), "cid", "left").selectExpr("key", "band", "cid", "coalesce(component, cid) as comp", "c"), "own")
         several = own.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most").select("key")
         blocks = (
             own.join(several, "key").join(sets.of("cid", "n", "regs", "odd"), "cid")
