@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .codes import OP12_SQL, op12_vector_codes
 from .dedup import op1_setsketch_dedup
+from .leaks import OP11_SQL, op11_fm_index
+from .middle import OP13_SQL, op13_fill_in_middle
 from .mixing import OP8_SQL, op8_mix
 from .order import op10_order
 from .packing import op6_best_fit
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_warc": op9_warc,
     "op10_order": op10_order,
+    "op11_fm_index": op11_fm_index,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES = {
     "op2_link_trust": OP2_SQL,
@@ -31,4 +37,7 @@ ORACLES = {
     "op7_exact_topk": OP7_SQL,
     "op8_mix": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op11_fm_index": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
