@@ -6,6 +6,11 @@
 3. secret scans: secrets are replaced in the text, documents stay;
 4. mixing sources to target weights: documents occur as often as the mix takes them;
 5. best-fit packing: the pieces of all documents and their places in sequences.
+
+Defined results: a null or empty text has too few words and goes in the first stage; a null
+language or source is a language or source of its own; a null id is kept and mixed by its text;
+rows that repeat an id are documents of their own, rows that also repeat the text are copies;
+other columns come through all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ words, what it cannot take going to the others by weight until none is above its
 A budget beyond a source's words takes each document whole, and some once more.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a
-source, last in order; repeated rows of one id are taken alike; an empty table gives an
-empty result; other columns are not read. A source's taken words differ from its target
+source, last in order; repeated rows of one id are taken alike; a null id is hashed by its
+text, so such documents are mixed like others and equal ones are taken alike; an empty table
+gives an empty result; other columns are not read. A source's taken words differ from its target
 by half of the document at the threshold at most (rows with one hash count as one).
 """
 
@@ -29,14 +30,16 @@ SHARE = (3, 2)  # numerator and denominator: 150 %
 CAP = 2
 LEVELS = 6
 BITS = 10
+#: The 60-bit hash of a document's id, or of its text where it has none.
+HASH = "cast(conv(substr(md5(coalesce(cast(doc_id as string), concat('null:', md5(coalesce(text, ''))))), 1, 15), 16, 10) as bigint)"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): words of the whole text and the id's 60-bit hash."""
+    """(doc_id, source, size, h): words of the whole text and the document's 60-bit hash."""
     return docs.select(
         "doc_id", "source",
         F.expr("cast(regexp_count(coalesce(text, ''), '[^\\\\x20\\\\x09-\\\\x0D]+') as bigint)").alias("size"),
-        F.expr("cast(conv(substr(md5(cast(doc_id as string)), 1, 15), 16, 10) as bigint)").alias("h"),
+        F.expr(HASH).alias("h"),
     )
 
 
@@ -107,11 +110,10 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tu
     one row per source is joined to them."""
     sized = scratch.materialize(sizes(docs), "sizes")
     bounds = scratch.materialize(thresholds(sized, scratch.materialize(targets(sized, weights, share, cap), "targets")), "bounds")
-    h = "cast(conv(substr(md5(cast(doc_id as string)), 1, 15), 16, 10) as bigint)"
     own = [F.col(f"`{c}`") for c in docs.columns]
     source, copies, bound, nr = names.free(docs.columns, "m_source", "m_copies", "m_bound", "m_nr")
     taken = docs.join(bounds.selectExpr(f"t_source as {source}", f"copies as {copies}", f"bound as {bound}"), F.expr(f"source <=> {source}"))
-    return taken.withColumn(nr, F.explode(F.expr(f"array_repeat(0, cast({copies} + if({h} < {bound}, 1, 0) as int))"))).select(*own)
+    return taken.withColumn(nr, F.explode(F.expr(f"array_repeat(0, cast({copies} + if({HASH} < {bound}, 1, 0) as int))"))).select(*own)
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +125,7 @@ def _op8_sql() -> str:
     w = "case rank % 3 when 0 then 3 when 1 then 1 else 2 end"
     return rf"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-                  concat('0x', substr(md5(doc_id::varchar), 1, 15))::bigint as h from documents),
+                  concat('0x', substr(md5(coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))), 1, 15))::bigint as h from documents),
 s as (select source, sum(size)::bigint as source_size, row_number() over (order by source asc nulls last) - 1 as rank from d group by source),
 s1 as (select *, {w} as w, 2 * source_size as most, sum(source_size) over () * 3::double / 2 as budget from s),
 s2 as (select *, sum(w) over () as all_w,

@@ -9,13 +9,17 @@
 Files go to a folder that driver and executors share, through ``pyarrow.fs``. Each attempt
 of a task writes names of its own and only the names that finished tasks return are used,
 so retried or doubled tasks do no harm. Revisits are decided by a map-side combined minimum
-per digest; only the list of revisits, not the payloads, is joined to the pages.
+per digest of ids; digests that occur more than once are joined to the pages, by broadcast
+where they are few, else the pages move by digest, and a hot digest is split as a skewed one.
+
+Each record has the four fields that the standard asks for: type, id, date and length.
 
 Defined results: null html is an empty payload and equal to any other empty one; payloads
 under ``least`` bytes are all responses; of equal payloads the smallest page_id is the
-response, and rows that repeat it are responses too; a null page_id is a response of no name
-and never referred to; a null url leaves out the target; other columns are not read; an
-empty table writes no archive and gives an empty result.
+response, and rows that repeat it with that payload are responses too; rows that share a
+page_id but not the payload are judged each by its own payload; a null page_id revisits an equal
+payload of any other id, is never referred to, and its record is named by a random UUID; a null url
+leaves out the target; other columns are not read; an empty table writes no archive and gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from . import scratch
 #: Bytes of payload after which a writer begins another archive.
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 6
+#: When the pages were captured, as far as it is known.
+DATE = "1970-01-01T00:00:00Z"
 _BLOCK = 1 << 20
 
 
@@ -44,22 +50,19 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def roles(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the revisits among ``pages`` (page_id, html)."""
-    digests = pages.where("page_id is not null").select("page_id", F.expr("sha1(coalesce(html, ''))").alias("d"), F.expr("octet_length(coalesce(html, ''))").alias("n"))
-    digests = scratch.materialize(digests, "digests").where(F.col("n") >= least)
-    first = digests.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to")
-    return digests.join(first, "d").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+def firsts(pages: DataFrame, least: int = 0) -> DataFrame:
+    """(digest, first) of the payloads among ``pages`` (page_id, html) that have revisits."""
+    digests = pages.select("page_id", F.expr("sha1(coalesce(html, ''))").alias("digest"), F.expr("octet_length(coalesce(html, ''))").alias("n")).where(F.col("n") >= least)
+    return digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 and first is not null").select("digest", "first")
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
     """One WARC/1.1 record. A revisit has the full payload's digest and length, but no payload."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
     fields = [("WARC-Type", "response" if refers_to is None else "revisit")]
-    if page_id is not None:
-        fields.append(("WARC-Record-ID", f"<urn:page:{page_id}>"))
+    fields += [("WARC-Record-ID", f"<urn:page:{page_id}>" if page_id is not None else f"<{uuid.uuid4().urn}>"), ("WARC-Date", date)]
     if url is not None:
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if refers_to is not None:
@@ -96,12 +99,13 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http, payload
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = DATE) -> DataFrame:
     """Write ``pages`` (page_id, url, html) below ``folder``; rows (path, records)."""
     import pyarrow as pa
 
-    revisits = scratch.materialize(roles(pages, least), "revisits").withColumnRenamed("page_id", "r_id")
-    rows = pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).join(revisits, F.col("page_id") == F.col("r_id"), "left").drop("r_id")
+    shared = scratch.materialize(firsts(pages, least), "firsts")
+    rows = pages.select("page_id", "url", F.col("html").cast("binary").alias("html"), F.expr("sha1(coalesce(html, ''))").alias("digest")).join(shared, "digest", "left")
+    rows = rows.select("page_id", "url", "html", F.expr("if(page_id is null or page_id > first, first, null)").alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _fs(folder)
@@ -117,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                 if out is None:
                     path, packer, held, n = f"{top}/{uuid.uuid4().hex}.warc.gz", zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, 0
                     out = fs.open_output_stream(path)
-                data = record_bytes(page_id.as_py(), url.as_py(), html.as_py() or b"", refers_to.as_py())
+                data = record_bytes(page_id.as_py(), url.as_py(), html.as_py() or b"", refers_to.as_py(), date)
                 out.write(packer.compress(data))
                 held, n = held + len(data), n + 1
                 if held >= ARCHIVE_BYTES:
@@ -248,7 +252,7 @@ f as (select *, min(page_id) over (partition by hex) as first from d),
 bits as (select *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            (('0x' || substr('00' || hex, 3 + (i * 5) // 4, 2))::int >> (3 - ((i * 5) % 4)) & 31) + 1, 1)) as l from f)
 select page_id, payload_bytes, array_to_string(l, '') as payload_digest,
-       case when page_id = first then 'response' else 'revisit' end as record_type,
-       case when page_id = first then null else first end as refers_to
+       case when first is null or page_id = first then 'response' else 'revisit' end as record_type,
+       case when first is null or page_id = first then null else first end as refers_to
 from bits
 """

@@ -62,3 +62,22 @@ def test_stages_against_plain_versions(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_odd_rows(spark):
+    """Nulls in any column, repeated ids and rows, a foreign column of a helper's name, an empty table."""
+    good = lambda k, n=200: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(None, good(1), "en", "only", 1, 0), (3, good(2), None, None, None, 0), (3, good(2), None, None, None, 0), (4, good(3), "en", "b", 1, 0), (4, good(4), "de", "b", 1, 0), (5, None, "en", "b", 1, 0), (6, "", None, "b", 1, 0), (7, "too short", "en", "c", 1, 0), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, row int")
+    steps = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        steps.append(scratch.materialize(stage(spark, steps[-1], SF), "odd"))
+    texts = [{r.text for r in s.select("text").collect()} for s in steps[:-1]]
+    wanted = {good(k) for k in (1, 2, 3, 4)}
+    assert texts[1] == texts[2] == texts[3] == wanted and all(s.columns == docs.columns for s in steps[:-1])
+    assert good(1) in texts[4], "a document without an id is mixed like others"
+    assert {r.doc_id for r in steps[5].collect()} == {r.doc_id for r in steps[4].collect()}
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, SF)
+    assert none.count() == 0
