@@ -40,7 +40,17 @@ def training_step(cutoff: int, horizon: int) -> Step:
              join (select series_id, date_idx, recovered_demand_mean, dow, price, promo from {{featured}} where date_idx <= {cutoff}) f
                on f.series_id = b.series_id and f.date_idx = b.date_idx + h.horizon"""
 
-    return Step(("featured",), sql)
+    return Step(("featured",), sql, lambda featured: multi_horizon(featured.where(f"date_idx <= {cutoff}"), horizon).drop("target_day"))
+
+
+def multi_horizon(featured: DataFrame, horizon: int) -> DataFrame:
+    """Each day with target and known covariates 1..horizon days on, and their day as ``target_day``:
+    one sort, in which a window gathers the days ahead; rows are copied last. Nothing is joined."""
+    by = f"(partition by series_id order by date_idx rows between 1 following and {horizon} following)"
+    ahead = f"collect_list(struct(date_idx as target_day, recovered_demand_mean as target, dow as future_dow, price as future_price, promo as future_promo)) over {by} as ahead"
+    columns = [c for c in featured.columns]
+    out = featured.selectExpr("*", ahead).selectExpr(*columns, "inline(ahead)").where(f"target_day - date_idx between 1 and {horizon}")
+    return out.selectExpr(*columns, "target_day - date_idx as horizon", "target", "future_dow", "future_price", "future_promo", "target_day")
 
 
 def origin_step(origin: int, horizon: int) -> Step:

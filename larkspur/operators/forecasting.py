@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from larkspur.functions.dialect import Dialect
-from larkspur.plans.steps import Step
+from larkspur.plans.steps import Step, checkpointed
+
+from .order_statistics import boundary, cell, order_statistics, pivots
 
 COLUMNS = "series_id, origin, date_idx, horizon, q10, q50, q90, model"
 
@@ -79,7 +81,43 @@ def adjustment_step(targets: tuple[int, ...], shrinkage: float = 30.0) -> Step:
                n / (n + {shrinkage}e0) as shrinkage_weight, n
         from l join p on l.model = p.model and l.target_origin = p.target_origin"""
 
-    return Step(("forecast", "truth"), sql)
+    def build(forecast: DataFrame, truth: DataFrame) -> DataFrame:
+        return conformal_ranks(forecast, truth, targets, shrinkage)
+
+    return Step(("forecast", "truth"), sql, build)
+
+
+def conformal_ranks(forecast: DataFrame, truth: DataFrame, targets: tuple[int, ...], shrinkage: float = 30.0, **sizes: int) -> DataFrame:
+    """The adjustments from rank histograms. Scores are counted once by model, horizon, origin and cell;
+    a target sums the counts of the origins before it, so no score is copied for it but those of
+    the cell that holds its rank."""
+    from pyspark.sql import functions as F
+
+    scores = forecast.join(truth.select("series_id", "date_idx", "demand"), ["series_id", "date_idx"]).select("model", "origin", "horizon", F.expr("greatest(q10 - demand, demand - q90)").alias("score"))
+    cuts = scores.groupBy("model").agg(pivots("score").alias("cuts")).withColumnRenamed("model", "_model")
+    celled = checkpointed(scores.join(cuts, F.col("model").eqNullSafe(F.col("_model"))).select("model", "origin", "horizon", "score", cell("score", "cuts").alias("cell")))
+    counts = celled.groupBy("model", "horizon", "origin", "cell").agg(F.count(F.lit(1)).alias("n"))
+    spark = forecast.sparkSession
+    target = spark.createDataFrame([(t,) for t in targets], "target_origin int")
+    earlier = counts.join(F.broadcast(target), F.col("origin") < F.col("target_origin"))
+
+    def at_rank(keys: list[str], out: str) -> DataFrame:
+        by = ", ".join(keys)
+        cells = earlier.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
+        rank = "least(total, (4 * (total + 1) + 4) div 5)"
+        ranked = cells.withColumn("total", F.expr(f"sum(n) over (partition by {by})")).selectExpr("*", f"{rank} as a", f"{rank} as b")
+        held = checkpointed(boundary(ranked, keys).withColumn("of_cell", F.col("first_cell")))
+        own = [k for k in keys if k != "target_origin"]
+        named = held.withColumnsRenamed({k: f"_h_{k}" for k in own})
+        same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in own]
+        rows = celled.join(named, [*same, F.col("cell") == F.col("of_cell"), F.col("origin") < F.col("target_origin")]).select(*keys, "score")
+        return order_statistics(rows, keys, "score", held, **sizes).select(*keys, F.col("at_a").alias(out))
+
+    local = at_rank(["target_origin", "model", "horizon"], "local_adjustment")
+    pooled = at_rank(["target_origin", "model"], "pooled_adjustment")
+    n = earlier.groupBy("target_origin", "model", "horizon").agg(F.sum("n").alias("n"))
+    joined = n.join(local, ["target_origin", "model", "horizon"]).join(pooled, ["target_origin", "model"]).withColumn("shrinkage_weight", F.expr(f"n / (n + {shrinkage}D)"))
+    return joined.selectExpr("target_origin", "model", "horizon", "shrinkage_weight * local_adjustment + (1D - shrinkage_weight) * pooled_adjustment as adjustment", "local_adjustment", "pooled_adjustment", "shrinkage_weight", "n")
 
 
 def applied_step(targets: tuple[int, ...]) -> Step:

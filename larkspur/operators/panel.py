@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larkspur.functions.dialect import Dialect
 from larkspur.plans.steps import Step
 
+from .order_statistics import group_quantile
+
 DAYS = 224
 
 
@@ -42,7 +45,21 @@ def _priced(d: Dialect) -> str:
     from {{panel}}"""
 
 
-PRICED = Step(("panel",), _priced)
+def _priced_by_ranks(panel: DataFrame, **sizes: int) -> DataFrame:
+    """Medians of a week come from rank histograms and are joined back: no task holds a week."""
+    item = "split_part(series_id, '|', 3)"
+    keyed = panel.selectExpr("*", "floor(date_idx / 7D) as _week", f"{item} as _item", "last_value(price) ignore nulls over (partition by series_id order by date_idx rows between unbounded preceding and current row) as _known")
+    open_ = panel.where("price is not null").selectExpr("store", "category", "floor(date_idx / 7D) as week", f"{item} as item", "price")
+    choices = []
+    for k, keys in enumerate((["store", "week"], ["category", "item", "week"], ["week"])):
+        median = group_quantile(open_, keys, "price", f"_m{k}", **sizes).withColumnsRenamed({x: f"_k{k}_{x}" for x in keys})
+        own = {"store": "store", "category": "category", "item": "_item", "week": "_week"}
+        keyed = keyed.join(median, [F.col(own[x]).eqNullSafe(F.col(f"_k{k}_{x}")) for x in keys], "left")
+        choices.append(f"_m{k}")
+    return keyed.selectExpr("series_id", "date_idx", "sales", "demand", "stockout", f"greatest(coalesce(_known, {', '.join(choices)}, 1D), 1e-2D) as price", "promo", "category", "store", "dow")
+
+
+PRICED = Step(("panel",), _priced, _priced_by_ranks)
 
 
 def canonical_panel(lineitem: DataFrame, part: DataFrame, supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:

@@ -6,10 +6,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.operators import censoring, closed_loop, evaluation, features, forecasting, lifecycle, panel, release, simulation
-from larkspur.operators.quantile_boosting import direct_quantile_forecast
+from larkspur.operators import censoring, closed_loop, evaluation, features, forecasting, lifecycle, panel, quantile_boosting, release, simulation
 
-from .steps import TABLES, Node, oracle, resolve
+from .steps import TABLES, Node, Step, expressible, oracle, resolve
 
 HORIZON = 14
 CALIBRATION, VALIDATION, TEST = (167,), (181, 195), (209,)
@@ -25,8 +24,6 @@ def _node(step, keep: bool = False, **feeds: str) -> Node:
 
 
 def _select(sql: str):
-    from .steps import Step
-
     return Step(("x",), lambda d: sql)
 
 
@@ -134,8 +131,25 @@ GRAPH: dict[str, Node] = {
     "gate": _node(release.gate_step(), values="gate_metrics"),
     "daily": _node(simulation.DAILY_MART, panel="recovered", regimes="regimes"),
     "kpi_mart": _node(simulation.KPI_MART, simulation="grid"),
+    # Boosted quantile trees: no SQL states them.
+    "direct_inputs": _node(quantile_boosting.DIRECT_INPUTS, True, featured="featured", regimes="regimes", recovered="recovered"),
+    "direct": _node(quantile_boosting.direct_step(ORIGINS, HORIZON), True, inputs="direct_inputs"),
+    "three": _node(forecasting.UNION, a="both", b="direct"),
 }
 
+
+def _again(graph: dict[str, Node], prefix: str, old: str, new: str) -> dict[str, Node]:
+    """All that follows from node ``old``, once more from ``new``."""
+    follows: set[str] = set()
+    while more := {n for n, node in graph.items() if n not in follows and n != new and ({old} | follows) & {*node.feeds.values()}}:
+        follows |= more
+    feed = lambda v: new if v == old else prefix + v if v in follows else v
+    return {prefix + n: Node(graph[n].step, {k: feed(v) for k, v in graph[n].feeds.items()}, graph[n].keep) for n in follows}
+
+
+#: The whole chain behind the forecasts with boosted trees as a third source.
+GRAPH |= _again(GRAPH, "boosted_", "both", "three")
+
 _PANEL = "series_id, date_idx, ~sales, ~demand, stockout, ~price, promo, category, store, dow"
 _F = "series_id, origin, date_idx, horizon, ~q10, ~q50, ~q90, model"
 _REGIMES = "series_id, date_idx, " + ", ".join(f"~drat_{r}" for r in lifecycle.REGIMES) + ", ~drat_entropy, ~drat_velocity, drat_state, ~drat_progress"
@@ -202,6 +216,12 @@ OUTPUTS: dict[str, tuple[str, str]] = {
     "held_out_metrics": ("held_metrics", "model, n, ~wape, ~signed_bias, ~coverage_80, ~mean_interval_width, ~pinball_10, ~pinball_50, ~pinball_90"),
     "held_out_policy": ("held_policies", _KPI + ", ~cost_win_rate_vs_baseline"),
     "release_gate": ("gate", "check_name, ~value, critical, holds, gate_status"),
+    "direct_quantile_forecast": ("direct", _F),
+    "boosted_forecast_metrics": ("boosted_all_metrics", "model, n, ~wape, ~signed_bias, ~coverage_80, ~mean_interval_width, ~pinball_10, ~pinball_50, ~pinball_90"),
+    "boosted_decision_router": ("boosted_decision", "series_id, selected_model, ~selected_wape, ~baseline_wape, ~relative_improvement, n_validation_rows, ~selected_cost, ~baseline_cost, ~relative_cost_improvement, routing_reason"),
+    "boosted_candidate_selection": ("boosted_selection", "selected_model, policy_scale, ~wape, ~worst_slice_regression, ~fill_rate, ~total_cost, ~cost_win_rate_vs_baseline"),
+    "boosted_held_out_metrics": ("boosted_held_metrics", "model, n, ~wape, ~signed_bias, ~coverage_80, ~mean_interval_width, ~pinball_10, ~pinball_50, ~pinball_90"),
+    "boosted_release_gate": ("boosted_gate", "check_name, ~value, critical, holds, gate_status"),
     "mart_daily_demand": ("daily", "series_id, date_idx, category, store, ~sales, ~demand, stockout, promo, ~price, ~recovered_demand_mean, drat_state, ~drat_entropy, ~sql_lag_1, ~sql_roll_mean_7"),
     "mart_inventory_kpi": ("kpi_mart", "model, series_id, evaluated_days, ~total_demand, ~total_sales, ~total_lost_sales, ~total_cost, ~average_inventory, ~stockout_rate, ~fill_rate"),
 }
@@ -234,16 +254,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {name: partial(_run, node, columns) for name, (node, columns) in OUTPUTS.items()}
 
 
-def direct_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees at the test origin; no SQL can state them, tests hold them against the baseline."""
-    return direct_quantile_forecast(resolve(GRAPH, "featured", spark, sf_dir), TEST, HORIZON)
-
-
-QUERIES["direct_quantile_forecast"] = direct_quantile
-
-
 def oracles() -> dict[str, str]:
-    return {name: oracle(GRAPH, node, f"select {', '.join(_columns(columns))} from n_{node}") for name, (node, columns) in OUTPUTS.items()}
+    return {name: oracle(GRAPH, node, f"select {', '.join(_columns(columns))} from n_{node}") for name, (node, columns) in OUTPUTS.items() if expressible(GRAPH, node)}
 
 
 __all__ = ["GRAPH", "ORIGINS", "OUTPUTS", "QUERIES", "TABLES", "flagship", "oracles"]

@@ -16,13 +16,18 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 @dataclass(frozen=True)
 class Step:
-    """``sql`` gives one SELECT for a dialect; ``{name}`` in it stands for a relation of ``inputs``."""
+    """``sql`` gives one SELECT for a dialect; ``{name}`` in it stands for a relation of ``inputs``.
+    Where Spark takes another way than the plain statement, ``build`` makes its frame from the inputs,
+    and the SELECT is the oracle's alone; without one, nothing that follows has an oracle."""
 
     inputs: tuple[str, ...]
-    sql: Callable[[Dialect], str]
+    sql: Callable[[Dialect], str] | None
+    build: Callable[..., DataFrame] | None = None
 
     def run(self, **frames: DataFrame) -> DataFrame:
         """The lazy result over ``frames``, one for each input."""
+        if self.build:
+            return self.build(**{k: frames[k] for k in self.inputs})
         spark = next(iter(frames.values())).sparkSession if frames else SparkSession.active()
         return spark.sql(self.sql(SPARK), **{k: frames[k] for k in self.inputs})
 
@@ -67,6 +72,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def expressible(graph: dict[str, Node], name: str) -> bool:
+    """Whether SQL can state the node and all that it needs."""
+    return name in TABLES or graph[name].step.sql is not None and all(expressible(graph, v) for v in graph[name].feeds.values())
+
+
 def oracle(graph: dict[str, Node], name: str, final: str) -> str:
     """DuckDB SQL of ``final`` over node ``name``, with all it needs as common table expressions."""
     done: dict[str, str] = {}
