@@ -40,6 +40,11 @@ class Dialect:
     def integer(self, x: str) -> str:
         return f"cast({x} as int)"
 
+    def refuse(self, broken: str, value: str, what: str, *key: str) -> str:
+        """``value``; where ``broken`` holds, the query fails and names ``what`` and the key."""
+        message = f"concat_ws(' ', '{what}'" + "".join(f", cast({k} as string)" for k in key) + ")"
+        return f"case when {broken} then {'raise_error' if self.spark else 'error'}({message}) else {value} end"
+
     def unpivot(self, pairs: dict[str, str]) -> str:
         """Select item: rows (dimension, slice_value) of ``pairs`` name -> column."""
         if self.spark:

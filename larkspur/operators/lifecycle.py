@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from larkspur.functions.dialect import Dialect
-from larkspur.plans.steps import Step
+from larkspur.plans.steps import Step, checkpointed
 
 REGIMES = ("accelerating", "stable", "decelerating", "intermittent")
 #: First position and width of each lifecycle state on the 0..1 clock.
@@ -94,7 +94,29 @@ def _scores(d: Dialect) -> str:
            (select avg(abs(y - z)) from m) as ladt_mae, (select corr(ry, rz) from r) as ladt_spearman"""
 
 
-SCORES = Step(("truth", "estimate"), _scores)
+def _scores_by_counts(truth: DataFrame, estimate: DataFrame) -> DataFrame:
+    """Labels meet in one table of counts, and mean ranks come from running sums of the counts of values."""
+    from pyspark.sql import functions as F
+
+    from .ranks import ordered
+
+    m = truth.select("series_id", "date_idx", F.col("true_lifecycle_state").alias("t"), F.col("true_ladt").alias("y")).join(
+        estimate.select("series_id", "date_idx", F.col("estimated_lifecycle_state").alias("e"), F.col("estimated_ladt").alias("z")), ["series_id", "date_idx"]
+    )
+    m = checkpointed(m)
+    sides = "stack(2, t, if(t = e, c, 0L), 0L, if(t <> e, c, 0L), e, 0L, if(t <> e, c, 0L), 0L) as (label, tp, fp, fn)"
+    by_label = m.groupBy("t", "e").agg(F.count(F.lit(1)).alias("c")).selectExpr(sides).groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    f1 = by_label.agg(F.expr("avg(coalesce(2D * tp / nullif(2 * tp + fp + fn, 0), 0D))").alias("state_macro_f1"))
+    ranked = m
+    for c in ("y", "z"):
+        counts = m.groupBy(c).agg(F.count(F.lit(1)).alias("c"))
+        ranks = ordered(counts, [c], "before", weight="c").select(F.col(c).alias(f"_{c}"), F.expr("before + (c + 1) / 2D").alias(f"r{c}"))
+        ranked = ranked.join(ranks, F.col(c).eqNullSafe(F.col(f"_{c}")))
+    rest = ranked.agg(F.count(F.lit(1)).alias("n"), F.expr("avg(abs(y - z))").alias("ladt_mae"), F.corr("ry", "rz").alias("ladt_spearman"))
+    return rest.crossJoin(f1).select("n", "state_macro_f1", "ladt_mae", "ladt_spearman")
+
+
+SCORES = Step(("truth", "estimate"), _scores, _scores_by_counts)
 
 
 def add_regimes(panel: DataFrame, value: str = "recovered_demand_mean") -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.dialect import Dialect
-from larkspur.plans.steps import Step
+from larkspur.plans.steps import Step, checkpointed
 
 from .order_statistics import group_quantile
+from .ranks import ordered
 
 DAYS = 224
 
@@ -130,7 +131,22 @@ def balanced(max_rows: int) -> Step:
         o as (select k.*, row_number() over (order by case when picked then 0 else 1 end, date_idx desc, series_id) as place from k)
         select series_id, date_idx, sales, demand, stockout, price, promo, category, store, dow from o where picked or place <= {max_rows}"""
 
-    return Step(("panel",), sql)
+    def build(panel: DataFrame) -> DataFrame:
+        """The shortfall alone is filled from the latest of the other rows: no task orders the panel."""
+        columns = ["series_id", "date_idx", "sales", "demand", "stockout", "price", "promo", "category", "store", "dow"]
+        series, rows = panel.agg(F.countDistinct("series_id"), F.count(F.lit(1))).first()
+        if rows <= max_rows:
+            return panel.select(*columns)
+        share = max(1, max_rows // max(series, 1))
+        numbered = panel.selectExpr(*columns, "row_number() over (partition by series_id order by date_idx) - 1 as i", "count(*) over (partition by series_id) as m").withColumn("take", F.expr(f"least({share}, m)"))
+        at = "bround(i * (take - 1) / cast(nullif(m - 1, 0) as double))"
+        picked = f"case when take = 1 then i = m - 1 else {at} between 0 and take - 1 and i = bround({at} * (m - 1) / cast(nullif(take - 1, 0) as double)) end"
+        kept = checkpointed(numbered.withColumn("picked", F.expr(f"coalesce({picked}, false)")).select(*columns, "picked"))
+        short = max(0, max_rows - kept.where("picked").count())
+        rest = kept.where("not picked").orderBy(F.desc("date_idx"), "series_id").limit(short)
+        return kept.where("picked").unionByName(rest).select(*columns)
+
+    return Step(("panel",), sql, build)
 
 
 def cohort(n_series: int, offset: int = 0, recent: int = 28) -> Step:
@@ -149,7 +165,24 @@ def cohort(n_series: int, offset: int = 0, recent: int = 28) -> Step:
                                              case when top = 1 then volume_bin end, score desc, series_id) as place from t)
         select series_id, category, store, score, cast(volume_bin as int) as volume_bin, cast(place as int) as place from o where place > {offset} and place <= {offset + n_series}"""
 
-    return Step(("panel",), sql)
+    def build(panel: DataFrame) -> DataFrame:
+        """Ranks come from ranges of the order, the best of a cell from an aggregate, the window from a top-n."""
+        last = panel.agg(F.max("date_idx").alias("last"))
+        score = f"sum(case when date_idx > last - {recent} then sales else 0D end)"
+        series = checkpointed(panel.crossJoin(F.broadcast(last)).groupBy("series_id", "category", "store").agg(F.expr(score).alias("score")))
+        if series.where("score > 0").count() >= n_series + offset:
+            series = series.where("score > 0")
+        n = series.count()
+        binned = ordered(series, ["score", "series_id"], "r").withColumn("volume_bin", F.expr(f"cast(greatest(ceil(r * least(4, {n}) / cast(greatest({n} - 1, 1) as double)) - 1, 0) as int)"))
+        binned = checkpointed(binned)
+        tops = binned.groupBy("category", "store", "volume_bin").agg(F.min(F.struct((-F.col("score")).alias("s"), "series_id")).alias("best")).select(F.col("best.series_id").alias("_top"))
+        marked = binned.join(tops, F.col("series_id") == F.col("_top"), "left")
+        order = [F.col("_top").isNull(), *[F.when(F.col("_top").isNotNull(), F.col(c)) for c in ("category", "store", "volume_bin")], F.desc("score"), F.col("series_id")]
+        chosen = marked.orderBy(*order).limit(offset + n_series)
+        place = "row_number() over (order by _top is null, if(_top is null, null, category), if(_top is null, null, store), if(_top is null, null, volume_bin), score desc, series_id)"
+        return chosen.withColumn("place", F.expr(place)).where(f"place > {offset}").select("series_id", "category", "store", "score", "volume_bin", "place")
+
+    return Step(("panel",), sql, build)
 
 
 def select_cohort(panel: DataFrame, n_series: int, offset: int = 0) -> DataFrame:

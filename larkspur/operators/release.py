@@ -73,9 +73,10 @@ def held_out_step(origin: int) -> Step:
 
 SCALES_OF = Step(("policies", "selection"), lambda d: f"select model, policy_scale from {{policies}} union all select '{CANDIDATE}' as model, policy_scale from {{selection}}")
 
-PATH_ERROR = Step(("nodes",), lambda d: """
-    with k as (select model, scenario, date_idx, horizon, sum(case when level = 'bottom' then demand end) as bottom, sum(case when level = 'total' then demand end) as total from {nodes} group by model, scenario, date_idx, horizon)
-    select coalesce(max(abs(bottom - total)), 0e0) as scenario_hierarchy_error from k""")
+PATH_ERROR = Step(("nodes", "scenarios"), lambda d: """
+    with t as (select model, scenario, date_idx, horizon, demand from {nodes} where level = 'total' union all select model, scenario, date_idx, horizon, -demand from {scenarios}),
+    k as (select model, scenario, date_idx, horizon, abs(sum(demand)) as error from t group by model, scenario, date_idx, horizon)
+    select coalesce(max(error), 0e0) as scenario_hierarchy_error from k""")
 
 REPLAY_SLICE_SUMMARY = Step(("slices",), lambda d: f"""
     select count(*) as n_slices, coalesce(max(relative_cost_regression), 0e0) as worst_relative_cost_regression, {d.best('scenario_type', '-round(relative_cost_regression, 9)', 'scenario_type')} as worst_cost_slice,

@@ -57,13 +57,14 @@ def initial_step(cfg: InventoryConfig) -> Step:
     return Step(("forecast",), sql)
 
 
-def _prepared(cfg: InventoryConfig, scales: tuple[float, ...]) -> str:
+def _prepared(d: Dialect, cfg: InventoryConfig, scales: tuple[float, ...]) -> tuple[str, str]:
     w = f"over (partition by f.model, f.series_id order by f.date_idx rows between 1 following and {cfg.protection} following)"
     grid = " union all ".join(f"select {s}e0 as policy_scale" for s in scales)
     return f"""
-        select f.model, f.series_id, f.date_idx, t.demand, i.initial_inventory, row_number() over (partition by f.model, f.series_id order by f.date_idx) - 1 as idx,
+        select f.model, f.series_id, f.date_idx, {d.refuse("t.series_id is null", "t.demand", "no truth for", "f.series_id", "f.date_idx")} as demand,
+               {d.refuse("i.series_id is null", "i.initial_inventory", "no initial inventory for", "f.series_id")} as initial_inventory, row_number() over (partition by f.model, f.series_id order by f.date_idx) - 1 as idx,
                case when count(*) {w} = {cfg.protection} then sum({service_quantile(cfg.service)}) {w} end as base_target
-        from {{forecast}} f join {{truth}} t on t.series_id = f.series_id and t.date_idx = f.date_idx join {{initial}} i on i.series_id = f.series_id""", grid
+        from {{forecast}} f left join {{truth}} t on t.series_id = f.series_id and t.date_idx = f.date_idx left join {{initial}} i on i.series_id = f.series_id""", grid
 
 
 def open_loop_step(cfg: InventoryConfig, scales: tuple[float, ...] = (1.0,)) -> Step:
@@ -71,7 +72,7 @@ def open_loop_step(cfg: InventoryConfig, scales: tuple[float, ...] = (1.0,)) ->
     of open orders, each with the day on which it arrives."""
 
     def sql(d: Dialect) -> str:
-        rows, grid = _prepared(cfg, scales)
+        rows, grid = _prepared(d, cfg, scales)
         cap = f"least({cfg.capacity}e0, " if cfg.capacity is not None else "("
         if d.spark:
             day = "struct<date_idx:int,opening:double,arrivals:double,demand:double,sales:double,lost:double,ending:double,position:double,target:double,eligible:int,review:int,order_qty:double,open_qty:double>"
@@ -118,9 +119,12 @@ def open_loop_step(cfg: InventoryConfig, scales: tuple[float, ...] = (1.0,)) ->
 
 _KPI = """sum(cost) as total_cost, sum(lost_sales) as lost_sales, 1e0 - sum(lost_sales) / (sum(demand) + 1e-9) as fill_rate, avg(stockout) as stockout_rate, avg(ending_inventory) as average_inventory"""
 
+#: KPIs by model and scale; they compare only if all were simulated on the same demand, else the query fails.
 SUMMARY = Step(("simulation",), lambda d: f"""
     with v as (select model, policy_scale, avg(coalesce(s, 0e0)) as order_volatility from (select model, policy_scale, series_id, stddev_samp(order_qty) as s from {{simulation}} group by model, policy_scale, series_id) x group by model, policy_scale),
-    k as (select model, policy_scale, {_KPI} from {{simulation}} group by model, policy_scale)
+    s as (select model, policy_scale, {_KPI}, sum(demand) as demand from {{simulation}} group by model, policy_scale),
+    w as (select s.*, max(demand) over () as most, min(demand) over () as least from s),
+    k as (select model, policy_scale, {d.refuse("most - least > 1e-9 * abs(most) + 1e-8", "total_cost", "models were simulated on different demand:", "model", "policy_scale")} as total_cost, lost_sales, fill_rate, stockout_rate, average_inventory from w)
     select k.*, v.order_volatility from k join v on v.model = k.model and v.policy_scale = k.policy_scale""")
 
 TUNING = Step(("summary",), lambda d: f"""

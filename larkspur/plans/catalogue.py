@@ -57,12 +57,10 @@ GRAPH: dict[str, Node] = {
     "window": _node(_select(f"select series_id, date_idx, demand from {{x}} where date_idx > {VALIDATION[0]} and date_idx <= {VALIDATION[-1] + HORIZON}"), x="truth"),
     "coverage": _node(forecasting.KEY_COVERAGE, forecast="calibrated", truth="window"),
     "metrics": _node(evaluation.MODEL_METRICS, **_ft),
-    "slices": _node(evaluation.slice_step(), **_ft),
-    "slice_summary": _node(evaluation.SLICE_SUMMARY, slices="slices"),
     "one_slice": _node(evaluation.slice_step(candidate="tsb"), **_ft),
     "router": _node(evaluation.router_step(), **_ft),
     "nodes": _node(evaluation.POINT_NODES, forecast="calibrated", metadata="truth"),
-    "node_error": _node(evaluation.NODE_ERROR, nodes="nodes"),
+    "node_error": _node(evaluation.NODE_ERROR, nodes="nodes", forecast="calibrated"),
     "service": _node(simulation.quantile_step(CFG.service), forecast="calibrated"),
     "initial": _node(simulation.initial_step(CFG), True, forecast="calibrated"),
     "grid": _node(simulation.open_loop_step(CFG, simulation.SCALES), True, forecast="calibrated", truth="truth", initial="initial"),
@@ -88,7 +86,7 @@ GRAPH: dict[str, Node] = {
     "sweep": _node(closed_loop.replay_step(CFG, safeties=closed_loop.SAFETIES), paths="loops"),
     "sweep_summary": _node(closed_loop.REPLAY_SUMMARY, replay="sweep"),
     "replay_worst": _node(release.REPLAY_SLICE_SUMMARY, slices="replay_comparison"),
-    "path_error": _node(release.PATH_ERROR, nodes="path_nodes"),
+    "path_error": _node(release.PATH_ERROR, nodes="path_nodes", scenarios="paths"),
     "policy_at_scale": _node(release.at_scale_step(1.0), tuning="all_tuning"),
     # Sources and router, tuned and chosen on the validation folds.
     "validated": _node(release.WITH_ROUTER, forecast="calibrated", routed="routed"),
@@ -112,7 +110,7 @@ GRAPH: dict[str, Node] = {
     "held_slices": _node(evaluation.slice_step(candidate=release.CANDIDATE), forecast="held_out", truth="truth"),
     "held_worst": _node(evaluation.SLICE_SUMMARY, slices="held_slices"),
     "held_nodes": _node(evaluation.POINT_NODES, forecast="held_out", metadata="truth"),
-    "held_node_error": _node(evaluation.NODE_ERROR, nodes="held_nodes"),
+    "held_node_error": _node(evaluation.NODE_ERROR, nodes="held_nodes", forecast="held_out"),
     "held_initial": _node(simulation.initial_step(CFG), forecast="held_out"),
     "held_scales": _node(release.SCALES_OF, policies="policies", selection="selection"),
     "held_grid": _node(simulation.open_loop_step(CFG, simulation.SCALES), forecast="held_out", truth="truth", initial="held_initial"),
@@ -123,7 +121,7 @@ GRAPH: dict[str, Node] = {
     "candidate_paths": _node(simulation.paths_step(), True, forecast="candidate"),
     "candidate_scores": _node(simulation.PATH_DIAGNOSTICS, scenarios="candidate_paths"),
     "candidate_nodes": _node(evaluation.PATH_NODES, forecast="candidate_paths", metadata="truth"),
-    "candidate_error": _node(release.PATH_ERROR, nodes="candidate_nodes"),
+    "candidate_error": _node(release.PATH_ERROR, nodes="candidate_nodes", scenarios="candidate_paths"),
     "gate_metrics": _node(
         release.GATE_METRICS, True, coverage="held_coverage", metrics="held_metrics", slices="held_worst", node_error="held_node_error", path_error="candidate_error", path_scores="candidate_scores",
         recovered="recovered", recovery="recovery", lifecycle="life_scores", summary="held_policies", policies="held_policies", replay="replay_summary", replay_slices="replay_worst",
@@ -183,10 +181,10 @@ OUTPUTS: dict[str, tuple[str, str]] = {
     "conformal_applied": ("applied", _F),
     "forecast_key_coverage": ("coverage", "row_count, null_quantiles, negative_forecasts, quantile_crossing, bad_horizons, missing_keys, extra_keys, broken_horizons, null_ids, duplicate_keys"),
     "forecast_metrics": ("metrics", "model, n, ~wape, ~signed_bias, ~coverage_80, ~mean_interval_width, ~pinball_10, ~pinball_50, ~pinball_90"),
-    "validation_slices": ("slices", _SLICES),
+    "validation_slices": ("all_slices", _SLICES),
     "slice_report": ("one_slice", _SLICES),
-    "slice_summary": ("slice_summary", "model, n_slices, ~worst_relative_wape_regression, worst_slice, ~slice_win_rate"),
-    "reconciled_points": ("nodes", "model, origin, date_idx, horizon, node_id, level, category, store, ~q10, ~q50, ~q90"),
+    "slice_summary": ("all_worst", "model, n_slices, ~worst_relative_wape_regression, worst_slice, ~slice_win_rate"),
+    "reconciled_points": ("nodes", "model, origin, date_idx, horizon, node_id, series_id, level, category, store, ~q10, ~q50, ~q90"),
     "hierarchy_error": ("node_error", "~hierarchy_max_error"),
     "service_quantile": ("service", "model, series_id, origin, date_idx, horizon, ~service_quantile"),
     "initial_inventory": ("initial", "series_id, ~initial_inventory"),
@@ -198,10 +196,10 @@ OUTPUTS: dict[str, tuple[str, str]] = {
     "series_router": ("router", "series_id, selected_model, ~selected_wape, ~baseline_wape, ~relative_improvement, n_validation_rows"),
     "decision_router": ("decision", "series_id, selected_model, ~selected_wape, ~baseline_wape, ~relative_improvement, n_validation_rows, ~selected_cost, ~baseline_cost, ~relative_cost_improvement, routing_reason"),
     "routed_forecast": ("routed", _F + ", routed_from_model"),
-    "routing_summary": ("routing", "selected_model, n_series, ~mean_validation_improvement, ~mean_validation_cost_improvement, ~fallback_rate"),
+    "routing_summary": ("routing", "selected_model, n_series, ~own_validation_improvement, ~own_validation_cost_improvement, all_series, ~mean_validation_improvement, ~mean_validation_cost_improvement, ~fallback_rate"),
     "scenario_paths": ("paths", "model, series_id, scenario, date_idx, horizon, ~demand, ~q10_forecast, ~median_forecast, ~q90_forecast, ~interval_scale"),
     "scenario_diagnostics": ("path_scores", "n_scenarios, ~mean_lag1_correlation, negative_values, ~normalized_quantile_mae"),
-    "reconciled_scenarios": ("path_nodes", "model, scenario, date_idx, horizon, node_id, level, category, store, ~demand"),
+    "reconciled_scenarios": ("path_nodes", "model, scenario, date_idx, horizon, node_id, series_id, level, category, store, ~demand"),
     "closed_loop_replay": ("replay", "policy, series_id, scenario_type, cycle, known_event, persistent_signal, stockout_streak, ~latent_demand, ~opening_inventory, ~observed_sales, ~recovered_demand, ~forecast, decision_eligible, is_review_period, ~target_inventory_position, ~arrivals, ~ending_inventory, ~order_qty, ~open_order_qty, stockout, ~lost_sales, ~cost"),
     "closed_loop_summary": ("replay_summary", _REPLAY),
     "closed_loop_slices": ("replay_slices", "policy, scenario_type, ~total_cost, ~lost_sales, ~fill_rate, ~stockout_rate, ~average_inventory"),
@@ -228,7 +226,7 @@ OUTPUTS: dict[str, tuple[str, str]] = {
 
 #: Ids, flags and counts have one type in both engines.
 _INTS = {"date_idx", "target_origin", "origin", "horizon", "stockout", "promo", "dow", "controlled_stockout", "draw", "future_dow", "future_promo", "scenario", "cycle", "known_event", "persistent_signal", "stockout_streak", "decision_eligible", "is_review_period", "min_date", "max_date"}
-_LONGS = {"n", "row_count", "series_count", "n_series", "n_slices", "n_scenarios", "negative_values", "evaluated_days", "n_validation_rows", "n_controlled", "duplicate_keys", "short_series", "broken_series", "unaligned_bounds", "missing_keys", "extra_keys", "broken_horizons", "critical", "holds"}
+_LONGS = {"n", "row_count", "series_count", "n_series", "all_series", "n_slices", "n_scenarios", "negative_values", "evaluated_days", "n_validation_rows", "n_controlled", "duplicate_keys", "short_series", "broken_series", "unaligned_bounds", "missing_keys", "extra_keys", "broken_horizons", "critical", "holds"}
 
 
 def _columns(text: str) -> list[str]:
