@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larkspur.functions.dialect import Dialect
 from larkspur.plans.steps import Step, checkpointed
@@ -91,14 +92,21 @@ def conformal_ranks(forecast: DataFrame, truth: DataFrame, targets: tuple[int, .
     """The adjustments from rank histograms. Scores are counted once by model, horizon, origin and cell;
     a target sums the counts of the origins before it, so no score is copied for it but those of
     the cell that holds its rank."""
-    from pyspark.sql import functions as F
-
-    scores = forecast.join(truth.select("series_id", "date_idx", "demand"), ["series_id", "date_idx"]).select("model", "origin", "horizon", F.expr("greatest(q10 - demand, demand - q90)").alias("score"))
+    scores = conformal_scores(forecast.join(truth.select("series_id", "date_idx", "demand"), ["series_id", "date_idx"]))
     cuts = scores.groupBy("model").agg(pivots("score").alias("cuts")).withColumnRenamed("model", "_model")
     celled = checkpointed(scores.join(cuts, F.col("model").eqNullSafe(F.col("_model"))).select("model", "origin", "horizon", "score", cell("score", "cuts").alias("cell")))
-    counts = celled.groupBy("model", "horizon", "origin", "cell").agg(F.count(F.lit(1)).alias("n"))
-    spark = forecast.sparkSession
-    target = spark.createDataFrame([(t,) for t in targets], "target_origin int")
+    return adjustments_from(celled, celled.groupBy("model", "horizon", "origin", "cell").agg(F.count(F.lit(1)).alias("n")), targets, shrinkage, **sizes)
+
+
+def conformal_scores(rows: DataFrame) -> DataFrame:
+    """(model, origin, horizon, score): how far ``demand`` lies outside of q10 to q90, negative within."""
+    return rows.select("model", "origin", "horizon", F.expr("greatest(q10 - demand, demand - q90)").alias("score"))
+
+
+def adjustments_from(celled: DataFrame, counts: DataFrame, targets: tuple[int, ...], shrinkage: float = 30.0, **sizes: int) -> DataFrame:
+    """Adjustments of ``targets`` from scores in cells that ascend with them, ``celled`` (model, origin, horizon, score,
+    cell), and their ``counts`` (model, horizon, origin, cell, n). Only cells that hold a rank are read for scores."""
+    target = celled.sparkSession.createDataFrame([(t,) for t in targets], "target_origin int")
     earlier = counts.join(F.broadcast(target), F.col("origin") < F.col("target_origin"))
 
     def at_rank(keys: list[str], out: str) -> DataFrame:

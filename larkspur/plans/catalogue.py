@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.operators import censoring, closed_loop, evaluation, features, forecasting, lifecycle, panel, quantile_boosting, release, simulation
 
+from larkspur.streaming import conformal as conformal_stream
+from larkspur.streaming import features as feature_stream
+
 from .steps import TABLES, Node, Step, expressible, oracle, resolve
 
 HORIZON = 14
@@ -129,6 +132,9 @@ GRAPH: dict[str, Node] = {
     "gate": _node(release.gate_step(), values="gate_metrics"),
     "daily": _node(simulation.DAILY_MART, panel="recovered", regimes="regimes"),
     "kpi_mart": _node(simulation.KPI_MART, simulation="grid"),
+    # The same results from streams.
+    "adjustment_streamed": _node(conformal_stream.streamed_step(ORIGINS, VALIDATION + TEST), True, forecast="raw", truth="truth"),
+    "featured_streamed": _node(feature_stream.streamed_step(4, panel.DAYS), True, panel="recovered"),
     # Boosted quantile trees: no SQL states them.
     "direct_inputs": _node(quantile_boosting.DIRECT_INPUTS, True, featured="featured", regimes="regimes", recovered="recovered"),
     "direct": _node(quantile_boosting.direct_step(ORIGINS, HORIZON), True, inputs="direct_inputs"),
@@ -168,6 +174,7 @@ OUTPUTS: dict[str, tuple[str, str]] = {
     "recovery_diagnostics": ("recovery", "n_controlled, ~raw_mae, ~recovered_mae, ~raw_bias, ~recovered_bias, ~mae_improvement, ~absolute_bias_improvement, ~q80_upper_coverage, ~q95_upper_coverage, ~do_no_harm_max"),
     "posterior_draws": ("draws", "series_id, date_idx, draw, ~latent_demand_draw"),
     "time_features": ("featured", "series_id, date_idx, " + ", ".join(f"~{f}" for f in features.FEATURES)),
+    "time_features_streamed": ("featured_streamed", "series_id, date_idx, " + ", ".join(f"~{f}" for f in features.FEATURES)),
     "direct_training_frame": ("training", "series_id, date_idx, horizon, ~target, future_dow, ~future_price, future_promo, ~lag_7, ~roll_mean_14"),
     "origin_frame": ("origin", "series_id, date_idx, horizon, future_dow, ~future_price, future_promo, ~lag_1, ~roll_std_28, ~zero_ratio_14"),
     "drat_features": ("regimes", _REGIMES),
@@ -178,6 +185,7 @@ OUTPUTS: dict[str, tuple[str, str]] = {
     "tsb": ("smoothed", _F),
     "repaired_forecasts": ("raw", _F),
     "conformal_adjustments": ("adjustment", "target_origin, model, horizon, ~adjustment, ~local_adjustment, ~pooled_adjustment, ~shrinkage_weight, n"),
+    "conformal_adjustments_streamed": ("adjustment_streamed", "target_origin, model, horizon, ~adjustment, ~local_adjustment, ~pooled_adjustment, ~shrinkage_weight, n"),
     "conformal_applied": ("applied", _F),
     "forecast_key_coverage": ("coverage", "row_count, null_quantiles, negative_forecasts, quantile_crossing, bad_horizons, missing_keys, extra_keys, broken_horizons, null_ids, duplicate_keys"),
     "forecast_metrics": ("metrics", "model, n, ~wape, ~signed_bias, ~coverage_80, ~mean_interval_width, ~pinball_10, ~pinball_50, ~pinball_90"),

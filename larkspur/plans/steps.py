@@ -62,13 +62,22 @@ def resolve(graph: dict[str, Node], name: str, spark: SparkSession, sf_dir: str)
     return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in the session's folder; a temporary one where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share; a temporary one where none is set."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = tempfile.TemporaryDirectory(prefix="larkspur-", ignore_cleanup_errors=True)
-        atexit.register(folder.cleanup)
-        sc.setCheckpointDir(f"file://{folder.name}")
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            folder = tempfile.TemporaryDirectory(prefix="larkspur-", ignore_cleanup_errors=True)
+            atexit.register(folder.cleanup)
+            named = f"file://{folder.name}"
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` from a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
