@@ -46,18 +46,23 @@ def _priced(d: Dialect) -> str:
     from {{panel}}"""
 
 
+def with_known_prices(rows: DataFrame, groups: list[list[str]], **sizes: int) -> DataFrame:
+    """``rows`` with ``price`` filled: the last one known of the series, else the first median of ``groups`` that
+    there is, else 1; at least 0.01. Medians come from rank histograms and are joined back: no task holds a group."""
+    columns = rows.columns
+    keyed = rows.selectExpr("*", "last_value(price) ignore nulls over (partition by series_id order by date_idx rows between unbounded preceding and current row) as _known")
+    priced = rows.where("price is not null")
+    for k, keys in enumerate(groups):
+        median = group_quantile(priced, keys, "price", f"_m{k}", **sizes).withColumnsRenamed({x: f"_k{k}_{x}" for x in keys})
+        keyed = keyed.join(median, [F.col(x).eqNullSafe(F.col(f"_k{k}_{x}")) for x in keys], "left")
+    filled = F.expr(f"greatest(coalesce(_known, {', '.join(f'_m{k}' for k in range(len(groups)))}, 1D), 1e-2D)")
+    return keyed.select(*[filled.alias(c) if c == "price" else F.col(c) for c in columns])
+
+
 def _priced_by_ranks(panel: DataFrame, **sizes: int) -> DataFrame:
-    """Medians of a week come from rank histograms and are joined back: no task holds a week."""
-    item = "split_part(series_id, '|', 3)"
-    keyed = panel.selectExpr("*", "floor(date_idx / 7D) as _week", f"{item} as _item", "last_value(price) ignore nulls over (partition by series_id order by date_idx rows between unbounded preceding and current row) as _known")
-    open_ = panel.where("price is not null").selectExpr("store", "category", "floor(date_idx / 7D) as week", f"{item} as item", "price")
-    choices = []
-    for k, keys in enumerate((["store", "week"], ["category", "item", "week"], ["week"])):
-        median = group_quantile(open_, keys, "price", f"_m{k}", **sizes).withColumnsRenamed({x: f"_k{k}_{x}" for x in keys})
-        own = {"store": "store", "category": "category", "item": "_item", "week": "_week"}
-        keyed = keyed.join(median, [F.col(own[x]).eqNullSafe(F.col(f"_k{k}_{x}")) for x in keys], "left")
-        choices.append(f"_m{k}")
-    return keyed.selectExpr("series_id", "date_idx", "sales", "demand", "stockout", f"greatest(coalesce(_known, {', '.join(choices)}, 1D), 1e-2D) as price", "promo", "category", "store", "dow")
+    keyed = panel.selectExpr("*", "floor(date_idx / 7D) as _week", "split_part(series_id, '|', 3) as _item")
+    filled = with_known_prices(keyed, [["store", "_week"], ["category", "_item", "_week"], ["_week"]], **sizes)
+    return filled.select("series_id", "date_idx", "sales", "demand", "stockout", "price", "promo", "category", "store", "dow")
 
 
 PRICED = Step(("panel",), _priced, _priced_by_ranks)

@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.operators import censoring, closed_loop, evaluation, features, forecasting, lifecycle, panel, quantile_boosting, release, simulation
+from larkspur.operators import censoring, closed_loop, evaluation, features, forecasting, lifecycle, panel, parity, quantile_boosting, release, simulation
 
 from larkspur.streaming import conformal as conformal_stream
 from larkspur.streaming import features as feature_stream
@@ -132,6 +132,9 @@ GRAPH: dict[str, Node] = {
     "gate": _node(release.gate_step(), values="gate_metrics"),
     "daily": _node(simulation.DAILY_MART, panel="recovered", regimes="regimes"),
     "kpi_mart": _node(simulation.KPI_MART, simulation="grid"),
+    # Features stated twice, and the difference of both.
+    "by_arrays": _node(parity.BY_ARRAYS, panel="recovered"),
+    "parity": _node(parity.PARITY, left_side="featured", right_side="by_arrays"),
     # The same results from streams.
     "adjustment_streamed": _node(conformal_stream.streamed_step(ORIGINS, VALIDATION + TEST), True, forecast="raw", truth="truth"),
     "featured_streamed": _node(feature_stream.streamed_step(4, panel.DAYS), True, panel="recovered"),
@@ -174,6 +177,7 @@ OUTPUTS: dict[str, tuple[str, str]] = {
     "recovery_diagnostics": ("recovery", "n_controlled, ~raw_mae, ~recovered_mae, ~raw_bias, ~recovered_bias, ~mae_improvement, ~absolute_bias_improvement, ~q80_upper_coverage, ~q95_upper_coverage, ~do_no_harm_max"),
     "posterior_draws": ("draws", "series_id, date_idx, draw, ~latent_demand_draw"),
     "time_features": ("featured", "series_id, date_idx, " + ", ".join(f"~{f}" for f in features.FEATURES)),
+    "feature_parity": ("parity", "column_name, n, left_only, right_only, ~max_difference, agrees"),
     "time_features_streamed": ("featured_streamed", "series_id, date_idx, " + ", ".join(f"~{f}" for f in features.FEATURES)),
     "direct_training_frame": ("training", "series_id, date_idx, horizon, ~target, future_dow, ~future_price, future_promo, ~lag_7, ~roll_mean_14"),
     "origin_frame": ("origin", "series_id, date_idx, horizon, future_dow, ~future_price, future_promo, ~lag_1, ~roll_std_28, ~zero_ratio_14"),
@@ -234,7 +238,7 @@ OUTPUTS: dict[str, tuple[str, str]] = {
 
 #: Ids, flags and counts have one type in both engines.
 _INTS = {"date_idx", "target_origin", "origin", "horizon", "stockout", "promo", "dow", "controlled_stockout", "draw", "future_dow", "future_promo", "scenario", "cycle", "known_event", "persistent_signal", "stockout_streak", "decision_eligible", "is_review_period", "min_date", "max_date"}
-_LONGS = {"n", "row_count", "series_count", "n_series", "all_series", "n_slices", "n_scenarios", "negative_values", "evaluated_days", "n_validation_rows", "n_controlled", "duplicate_keys", "short_series", "broken_series", "unaligned_bounds", "missing_keys", "extra_keys", "broken_horizons", "critical", "holds"}
+_LONGS = {"n", "row_count", "series_count", "n_series", "all_series", "n_slices", "n_scenarios", "negative_values", "evaluated_days", "n_validation_rows", "n_controlled", "duplicate_keys", "short_series", "broken_series", "unaligned_bounds", "missing_keys", "extra_keys", "broken_horizons", "critical", "holds", "left_only", "right_only"}
 
 
 def _columns(text: str) -> list[str]:
