@@ -15,17 +15,27 @@ DAYS = 224
 
 
 def _canonical(d: Dialect) -> str:
-    return f"""
-    with line as (
+    line = f"""
       select r_name as store, concat('grp_', cast(cast(substr(p_brand, 7) as int) % 5 as string)) as category,
              concat('size_', cast(p_size % 2 as string)) as item, {d.days_since('2000-12-20', 'l_shipdate')} as date_idx,
              cast(l_quantity as decimal(18, 2)) as q, cast(p_retailprice as decimal(18, 2)) as p, l_discount
       from {{lineitem}} join {{part}} on l_partkey = p_partkey join {{supplier}} on l_suppkey = s_suppkey
-           join {{nation}} on s_nationkey = n_nationkey join {{region}} on n_regionkey = r_regionkey),
-    day as (
+           join {{nation}} on s_nationkey = n_nationkey join {{region}} on n_regionkey = r_regionkey"""
+    days = f"""
       select store, category, item, date_idx, cast(sum(q) as double) as q, max(case when l_discount >= 9e-2 then 1 else 0 end) as promo,
              round(cast(sum(p) as double) / count(*), 4) as price
-      from line where date_idx between 0 and {DAYS - 1} group by store, category, item, date_idx),
+      from line group by store, category, item, date_idx"""
+    if d.spark:
+        # The tables are joined once: a series takes its days along, at most DAYS of them, and the grid is made in its row.
+        return f"""
+    with line as ({line}), day as ({days}),
+    series as (select store, category, item, map_from_entries(collect_list(struct(date_idx, struct(q, promo, price))) filter (where date_idx between 0 and {DAYS - 1})) as had from day group by store, category, item),
+    grid as (select store, category, item, {d.series(0, DAYS - 1)} as date_idx, had from series),
+    found as (select store, category, item, date_idx, had[date_idx] as x from grid)
+    select concat(store, '|', category, '|', item) as series_id, date_idx, coalesce(x.q, 0e0) as sales, coalesce(x.q, 0e0) as demand, 0 as stockout,
+           x.price as price, coalesce(x.promo, 0) as promo, category, store, cast(date_idx % 7 as int) as dow from found"""
+    return f"""
+    with line as ({line}), day as ({days}),
     grid as (select store, category, item, {d.series(0, DAYS - 1)} as date_idx from (select distinct store, category, item from line) s)
     select concat(g.store, '|', g.category, '|', g.item) as series_id, g.date_idx, coalesce(q, 0e0) as sales, coalesce(q, 0e0) as demand, 0 as stockout,
            price, coalesce(promo, 0) as promo, g.category, g.store, cast(g.date_idx % 7 as int) as dow

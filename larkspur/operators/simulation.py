@@ -157,11 +157,22 @@ DAILY_MART = Step(("panel", "regimes"), lambda d: """
 
 
 def paths_step(n: int = 120, rho: float = 0.65, seed: int = 42) -> Step:
-    """AR(1) shocks between the anchors. A shock is the weighted sum of the path's own innovations
-    up to its day, so each is a window over hash-keyed normals."""
+    """AR(1) shocks between the anchors, from hash-keyed normals: in Spark a fold over the horizons of a path, in
+    the oracle the weighted sum of the path's innovations up to each day."""
 
     def sql(d: Dialect) -> str:
         inner = (1 - rho * rho) ** 0.5
+        if d.spark:
+            # A forecast's horizons stay together, so paths are folded in their row: nothing of theirs is shuffled, no power of rho vanishes.
+            noise = d.normal(str(seed), "model", "series_id", "scenario", "h.horizon")
+            return f"""
+        with l as (select model, series_id, origin, array_sort(collect_list(struct(horizon, date_idx, q10, q50, q90))) as hs from {{forecast}} group by model, series_id, origin),
+        s as (select l.*, {d.series(0, n - 1)} as scenario from l),
+        f as (select model, series_id, scenario, hs, aggregate(transform(hs, h -> {noise}), cast(array() as array<double>), (a, e) -> array_append(a, if(size(a) = 0, e, {rho}e0 * element_at(a, -1) + {inner!r}e0 * e))) as xs from s),
+        r as (select model, series_id, scenario, xs, posexplode(hs) as (i, h) from f),
+        w as (select model, series_id, scenario, h.date_idx, h.horizon, h.q10, h.q50, h.q90, xs[i] as x from r)
+        select model, series_id, scenario, date_idx, horizon, greatest(0e0, q50 + x * greatest(1e-6, case when x < 0 then q50 - q10 else q90 - q50 end / 12815515655446004e-16)) as demand,
+               q10 as q10_forecast, q50 as median_forecast, q90 as q90_forecast, greatest(5e-1, q90 - q10) as interval_scale from w"""
         return f"""
         with s as (select f.*, {d.series(0, n - 1)} as scenario from {{forecast}} f),
         z as (select s.*, {d.normal(str(seed), 'model', 'series_id', 'scenario', 'horizon')} as e from s),
