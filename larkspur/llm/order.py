@@ -11,7 +11,8 @@ Texts are dealt by ranges of that order and tokenised range by range into a scra
 compressed pieces; the sums per range (one row of each, on the driver) tell where a range
 begins in the stream. Pieces of sequences then go to ranges of slots: a task writes whole
 shards front to back. A shard has one stride, so that slot s stands at byte
-``(s % per_shard) * stride``; a reader resumes by seeking.
+``(s - first_slot) * stride``; a reader resumes by seeking. Shards hold PER_SHARD sequences, and
+more where that would make over SHARDS of them, so their number does not grow without end.
 
 Shards are named after the key, the shape, the tokenizer and a digest of all ids, written
 under a name of the attempt and then renamed. One that is already there with its full size
@@ -38,6 +39,7 @@ from .tokens import batches_of, encoder, tokenizer_path
 LENGTH = 2048
 END, PAD = 1, 0
 PER_SHARD = 2048
+SHARDS = 20_000
 KEY = 20240607
 FEISTEL_ROUNDS = 6
 #: Ids of one piece of the stream in the scratch table.
@@ -99,8 +101,8 @@ def _pieces(batches, path: str, end: int) -> Iterator[tuple[int, int, bytes, lis
         yield nr, len(held) // own.width, bytes(held), docs, starts, mark % 2**62
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD, end: int = END, pad: int = PAD, ranges: int | None = None) -> DataFrame:
-    """Write ``docs`` (doc_id, text) in training order below ``folder``; rows (shard, path, sequences).
+def write_shards(docs: DataFrame, folder: str, path: str, key: int = KEY, length: int = LENGTH, per_shard: int | None = None, end: int = END, pad: int = PAD, ranges: int | None = None) -> DataFrame:
+    """Write ``docs`` (doc_id, text) in training order below ``folder``; rows (shard, path, sequences, first_slot).
 
     ``ranges`` is the number of tasks that tokenise; it changes no byte.
     """
@@ -135,6 +137,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, key: int = KEY, length
         total += n
         digest += int(mark)
     sequences = -(-total // length)
+    per_shard = per_shard or max(PER_SHARD, -(-sequences // SHARDS))
     tag = f"{zlib.crc32(repr((key, length, per_shard, end, pad, path.rpartition('/')[2], width, total)).encode()):08x}{digest % 2**64:016x}"
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +175,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, key: int = KEY, length
 
         def close() -> None:
             out.close()
-            done.append((out.shard, out.name, out.count))
+            done.append((out.shard, out.name, out.count, out.shard * per_shard))
 
         for batch in batches:
             for shard, slot, sequence, doc_id, n, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "sequence", "doc_id", "n", "ids")), strict=True):
@@ -183,14 +186,14 @@ def write_shards(docs: DataFrame, folder: str, path: str, key: int = KEY, length
                 out.add(slot, sequence, doc_id, n, unpack(ids))
         if out is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["shard", "path", "sequences"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "path", "sequences", "first_slot"])
 
     fs, top = _fs(folder)
     fs.create_dir(top, recursive=True)
     placed = stream.mapInArrow(dealt, "shard bigint, slot bigint, at int, sequence bigint, doc_id bigint, n int, ids binary")
     # A range of slots is a partition: known bounds need no sample.
     ranged = placed.repartitionById(max(1, -(-sequences // per_shard)), F.col("shard").cast("int")).sortWithinPartitions("slot", "at")
-    return scratch.materialize(ranged.mapInArrow(write, "shard bigint, path string, sequences bigint"), "shards")
+    return scratch.materialize(ranged.mapInArrow(write, "shard bigint, path string, sequences bigint, first_slot bigint"), "shards")
 
 
 class _Shard:
@@ -240,8 +243,8 @@ class _Shard:
         self.fs.move(self.own, f"{self.name}.bin")
 
 
-def read_shards(shards: DataFrame, uri: str, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2) -> DataFrame:
-    """One row per sequence of ``shards`` (shard, path, sequences), read front to back:
+def read_shards(shards: DataFrame, uri: str, length: int = LENGTH, width: int = 2) -> DataFrame:
+    """One row per sequence of ``shards`` (shard, path, first_slot), read front to back:
     slot, sequence, doc_id (of its first id), n_ids, shard, offset (bytes), ids_crc32."""
     import pyarrow as pa
 
@@ -254,17 +257,17 @@ def read_shards(shards: DataFrame, uri: str, length: int = LENGTH, per_shard: in
 
         fs, _ = _fs(uri)
         for batch in batches:
-            for shard, path in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            for shard, path, first in zip(*(batch.column(c).to_pylist() for c in ("shard", "path", "first_slot")), strict=True):
                 with fs.open_input_file(f"{path}.idx") as file:
                     index = pq.read_table(file)
                 slots, crc = index.column("slot").to_pylist(), []
-                if slots != list(range(shard * per_shard, shard * per_shard + len(slots))):
+                if slots != list(range(first, first + len(slots))):
                     raise ValueError(f"{path} lacks a slot")
                 with fs.open_input_stream(f"{path}.bin", compression=None) as file:
                     for _slot in slots:
                         crc.append(zlib.crc32(file.read(stride)))
                 columns = {c: index.column(c).combine_chunks() for c in index.column_names}
-                columns |= {"shard": pa.array([shard] * len(slots), pa.int64()), "offset": pa.array([(s % per_shard) * stride for s in slots], pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+                columns |= {"shard": pa.array([shard] * len(slots), pa.int64()), "offset": pa.array([(s - first) * stride for s in slots], pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     spread = shards.repartition(max(1, shards.count()), "path")

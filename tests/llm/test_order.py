@@ -45,7 +45,7 @@ def test_shards_hold_the_stream_of_the_plain_tokenizer_whatever_the_partitions(s
         docs = spark.createDataFrame(ROWS, "doc_id bigint, text string, slot int").repartition(ranges)
         folder = scratch.new_path(spark, "order")
         shards = order.write_shards(docs, folder, tokens.tokenizer_path(), length=64, per_shard=4, ranges=ranges)
-        got = order.read_shards(shards, folder, length=64, per_shard=4).collect()
+        got = order.read_shards(shards, folder, length=64).collect()
         n = len(got)
         assert n == -(-len(want) // 64) and sorted(r.slot for r in got) == list(range(n)) and sorted(r.sequence for r in got) == list(range(n))
         assert [int(order.feistel(np.array([r.sequence]), n, order.KEY)[0]) for r in got] == [r.slot for r in got]
@@ -69,11 +69,23 @@ def test_resume_keeps_whole_shards_of_this_input_and_key_only(spark):
     shards = order.write_shards(docs, folder, path, length=64, per_shard=4)
     assert {r.shard: r.path for r in shards.collect()} == first
     assert local.get_file_info(first[1] + ".bin").mtime == before
-    assert stream_of(shards, order.read_shards(shards, folder, length=64, per_shard=4).collect(), 128)[:5] == plain(ROWS)[:5]
+    assert stream_of(shards, order.read_shards(shards, folder, length=64).collect(), 128)[:5] == plain(ROWS)[:5]
     for other, key in ((docs, 5), (docs.withColumn("text", docs.text.substr(2, 99)), order.KEY)):
         assert not set(first.values()) & {r.path for r in order.write_shards(other, folder, path, key=key, length=64, per_shard=4).collect()}
 
 
+def test_the_number_of_shards_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(order, "PER_SHARD", 2)
+    monkeypatch.setattr(order, "SHARDS", 5)
+    docs = spark.createDataFrame(ROWS, "doc_id bigint, text string, slot int")
+    folder = scratch.new_path(spark, "order")
+    shards = order.write_shards(docs, folder, tokens.tokenizer_path(), length=64)
+    got = order.read_shards(shards, folder, length=64).collect()
+    n, per = len(got), -(-len(got) // 5)
+    assert per > 2 and shards.count() == -(-n // per) and sorted(r.slot for r in got) == list(range(n))
+    assert all((r.shard, r.offset) == (r.slot // per, r.slot % per * 128) for r in got)
+
+
 def test_empty_table(spark):
     folder = scratch.new_path(spark, "order")
     docs = spark.createDataFrame([], "doc_id bigint, text string, slot int")
