@@ -13,8 +13,9 @@ Labelled findings are (before, candidate, after, label); at most MAX_FINDINGS ar
 ``labelled_findings`` makes such a list by rule, for want of a labelled table.
 
 Defined results: a null text has no candidates and stays null; an empty one stays empty;
-every candidate of a long text is judged, with CONTEXT characters on either side of it, but
-none beyond another candidate; repeated rows are scanned each on its own; an empty table gives an empty
+every candidate of a long text is judged, whole whatever its length, with CONTEXT characters on either
+side of it, but none beyond another candidate; a key word counts up to 24 characters of its name before the = or :,
+the user's name before a password up to 64; repeated rows are scanned each on its own; an empty table gives an empty
 result; other columns are neither read nor changed, whatever their names.
 """
 
@@ -37,11 +38,14 @@ AFTER_KEY_WORD = (
     r"(?![A-Za-z][A-Za-z0-9+.\-]*://)"
 )
 #: A quoted value may have spaces; one with a RUN in it is left to the others.
-QUOTED = "|".join(rf"(?<={q})(?![^{q}\r\n]*[A-Za-z0-9+/_.\-]{{16}})[^{q}\r\n]{{6,200}}(?={q})" for q in ("\"", "'", "`"))
+QUOTED = "|".join(rf"(?<={q})(?![^{q}\r\n]*[A-Za-z0-9+/_.\-]{{16}})[^{q}\r\n]{{6,}}(?={q})" for q in ("\"", "'", "`"))
 #: A value without spaces ends before another name=, a tag, or a RUN in brackets or after ? | = or :.
 PLAIN = r"[^\s\"'`<>&,;(\[{?=|:]"
 BREAK = r"(?:[&,;](?![A-Za-z_][A-Za-z0-9_.\-]*[=:])|[(\[{?=|:](?![A-Za-z0-9+/_.\-]{16})|<(?![/A-Za-z!])|>)"
-VALUE = rf"(?![,;)\]}}])(?=(?:{PLAIN}|{BREAK}){{6}})(?:{PLAIN}|{BREAK}){PLAIN}*(?:{BREAK}{PLAIN}*){{0,64}}(?<![,;)\]}}])"
+#: What may end a value, and what follows it only if more than that comes: no step is ever taken back.
+END = r"(?:[)\]}]|[,;](?![A-Za-z_][A-Za-z0-9_.\-]*[=:]))"
+INNER = r"(?:[^\s\"'`<>&,;(\[{?=|:)\]}]|&(?![A-Za-z_][A-Za-z0-9_.\-]*[=:])|[(\[{?=|:](?![A-Za-z0-9+/_.\-]{16})|<(?![/A-Za-z!])|>)"
+VALUE = rf"(?![,;)\]}}])(?=(?:{PLAIN}|{BREAK}){{6}})(?:{INNER}|{END}++(?={INNER}))++"
 PASSWORD = r"(?<=:)(?<=(?:://|(?<![^\s\"'=(]))[A-Za-z0-9_.%+\-]{0,64}:)[^\s/\"'<>]{3,}(?=@[A-Za-z0-9\[])"
 CANDIDATE = f"{PASSWORD}|{AFTER_KEY_WORD}(?:{QUOTED}|{VALUE})|{RUN}"
 CONTEXT = 40

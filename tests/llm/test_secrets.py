@@ -110,3 +110,47 @@ def test_the_sql_is_the_model(spark):
     rows = model.transform(data).select(vector_to_array("probability")[1].alias("p"), "prediction", F.expr(sql).alias("score")).collect()
     assert max(abs(r.p - r.score) for r in rows) < 1e-9
     assert all((r.score > 0.5) == (r.prediction == 1.0) for r in rows if abs(r.score - 0.5) > 1e-9)
+
+
+def plain_scan(spark, model, docs):
+    """(doc_id, nr, length, sha256, score, secret) by Python's matching and the model itself."""
+    import hashlib
+
+    import regex
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    candidate, rows, keys = regex.compile(secrets.CANDIDATE), [], []
+    for k, (_, text) in enumerate(docs):
+        found = list(candidate.finditer(text or ""))
+        edges = [0, *[x for m in found for x in m.span()], len(text or "")]
+        for nr, m in enumerate(found):
+            before, after = text[edges[2 * nr] : edges[2 * nr + 1]], text[edges[2 * nr + 2] : edges[2 * nr + 3]]
+            rows.append((before[-secrets.CONTEXT :], m.group(), after[: secrets.CONTEXT], float(len(rows))))
+            keys.append((k, nr))
+    scored = model.transform(secrets.featured(spark, rows)).select("label", vector_to_array("probability")[1].alias("p")).collect() if rows else []
+    p = {int(r.label): r.p for r in scored}
+    return sorted(str((docs[k][0], nr, len(rows[n][1]), hashlib.sha256(rows[n][1].encode()).hexdigest(), round(round(p[n], 6), 4), p[n] > 0.5)) for n, (k, nr) in enumerate(keys))
+
+
+def test_query_against_a_plain_scan_and_the_model(spark):
+    """The whole query on its table, and odd texts: values of any length, breaks, quotes, repeats, nulls."""
+    model = secrets.fitted(spark)
+    table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = secrets.op5_secret_forest(spark, SF).collect()
+    assert sorted(str((r.doc_id, r.nr, r.length, r.sha256, round(r.score, 4), r.secret)) for r in got) == plain_scan(spark, model, table)
+    rng = random.Random(7)
+    parts = ["password = ", "token: \"", "api_key='", "=", ":", ",", ";", ")", "]", "&x=", "{", "(", "|", "?", ">", "<b>", " ", "\n", "Xk9!?", "s3cr3tPass", "https://bob:", "@host", "/usr/share/lib42/", '"', "'", "é", "0123456789abcdef0"]
+    odd = [(k, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))) for k in range(600)]
+    odd += [(-1, None), (None, "password = " + "Xk9!?" * 70 + "ENDSECRET"), (5, 'secret = "' + "word " * 60 + '"'), (5, 'secret = "' + "word " * 60 + '"'), (6, "pwd=" + "a,b;" * 5000 + "c)]},;"), (7, "")]
+    docs = spark.createDataFrame(odd, "doc_id bigint, text string")
+    own = secrets.scan(docs, secrets.train(spark)).collect()
+    assert sorted(str((r.doc_id, r.nr, r.length, r.sha256, round(r.score, 4), r.secret)) for r in own) == plain_scan(spark, model, odd)
+
+
+def test_long_values_are_redacted_whole(spark, votes):
+    value = "Xk9!?" * 70 + "ENDSECRET"
+    phrase = " ".join(["tremble", "otter", "candle", "wix"] * 10)
+    docs = spark.createDataFrame([(1, f"password = {value} end"), (2, f'passphrase = "{phrase}" end'), (3, f"pwd={'aB3$,' * 30000}z9 end")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs, votes).collect()}
+    assert got == {1: "password = [SECRET] end", 2: 'passphrase = "[SECRET]" end', 3: "pwd=[SECRET] end"}
