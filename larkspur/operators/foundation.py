@@ -46,17 +46,38 @@ def training_inputs(panel: DataFrame, cutoff: int, value: str = "recovered_deman
     return rows.select("series_id", F.col("r.y").alias("target"), F.create_map(F.lit("price"), F.col("r.price"), F.lit("promo"), F.col("r.promo")).alias("past_covariates"))
 
 
+def fine_tune(panel: DataFrame, cutoff: int, horizon: int, fit: Callable, value: str = "recovered_demand_mean", max_series: int = 10_000, seed: int = 42, **options):
+    """What ``fit(inputs, prediction_length, **options)`` returns, for ``inputs`` as a list of dictionaries with target and
+    past covariates of each series. A model is fitted in one place: of more than ``max_series`` series those of the smallest
+    key hashes are taken, whatever the order of rows."""
+    rows = training_inputs(panel, cutoff, value).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "series_id")), "series_id").limit(max_series).collect()
+    if not rows:
+        raise ValueError("there is nothing to fit")
+    return fit([{"target": r.target, "past_covariates": r.past_covariates} for r in rows], prediction_length=horizon, **options)
+
+
 def forecast_with(panel: DataFrame, origin: int, horizon: int, predict: Callable, model: str, value: str = "recovered_demand_mean") -> DataFrame:
     """Run ``predict(context, future)`` (pandas frames of one series; returns timestamp, q10, q50,
-    q90) for each series, side by side."""
+    q90) for each series, side by side. Days beyond the horizon are left out. A series of which a day is missing or
+    comes twice, or with a quantile that is no number, fails the query; bounds are repaired to enclose the median."""
     import pandas as pd
 
     start = pd.Timestamp(EPOCH)
 
     def one(key, context: pd.DataFrame, future: pd.DataFrame) -> pd.DataFrame:
         out = predict(context.sort_values("timestamp"), future.sort_values("timestamp"))
-        day = (pd.to_datetime(out["timestamp"]) - start).dt.days
-        return pd.DataFrame({"series_id": key[0], "date_idx": day, "horizon": day - origin, "q10": out["q10"].clip(lower=0), "q50": out["q50"].clip(lower=0), "q90": out["q90"].clip(lower=0), "model": model})
+        lacking = {"timestamp", "q10", "q50", "q90"} - set(out.columns)
+        if lacking:
+            raise ValueError(f"the forecast of {key[0]} has no columns {sorted(lacking)}")
+        out = out.assign(step=(pd.to_datetime(out["timestamp"]) - start).dt.days - origin)
+        out = out[out["step"].between(1, horizon)].sort_values("step")
+        if out["step"].tolist() != list(range(1, horizon + 1)):
+            raise ValueError(f"the forecast of {key[0]} has the days {out['step'].tolist()} of {horizon}")
+        if out[["q10", "q50", "q90"]].isna().any().any():
+            raise ValueError(f"the forecast of {key[0]} has null quantiles")
+        mid = out["q50"].clip(lower=0)
+        low, high = out["q10"].clip(lower=0).combine(mid, min), out["q90"].clip(lower=0).combine(mid, max)
+        return pd.DataFrame({"series_id": key[0], "date_idx": out["step"] + origin, "horizon": out["step"], "q10": low, "q50": mid, "q90": high, "model": model})
 
     past, ahead = context_frame(panel, origin, value), future_frame(panel, origin, horizon)
     shape = "series_id string, date_idx int, horizon int, q10 double, q50 double, q90 double, model string"

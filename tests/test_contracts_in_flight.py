@@ -97,3 +97,42 @@ def test_no_single_partition_exchange_over_rows(spark):
         assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
     assert panel.balanced_sample(p, 100).count() == 100 and panel.balanced_sample(p, 1000).count() == 360
     assert [r.place for r in panel.select_cohort(p, 5, 2).orderBy("place").collect()] == [3, 4, 5, 6, 7]
+
+
+def test_injected_predictors_must_cover_their_keys(spark):
+    from larkspur.operators import foundation
+
+    days = [(f"s{k}", d, float(d), 1.0, 0, d % 7) for k in range(3) for d in range(20)]
+    p = spark.createDataFrame(days, "series_id string, date_idx int, sales double, price double, promo int, dow int")
+
+    def predictor(change):
+        def predict(context, future):
+            out = future.assign(q10=9.0, q50=float(context.target.iloc[-1]), q90=-3.0)[["timestamp", "q10", "q50", "q90"]]
+            return change(out) if context.item_id.iloc[0] == "s1" else out
+
+        return predict
+
+    run = lambda change: foundation.forecast_with(p, 15, 4, predictor(change), "mock", "sales")
+    rows = run(lambda x: x).collect()
+    assert len(rows) == 12 and all((r.q10, r.q50, r.q90, r.horizon) == (9.0, 15.0, 15.0, r.date_idx - 15) for r in rows)
+    import pandas as pd
+
+    fails(run(lambda x: x.iloc[1:]), "the forecast of s1 has the days")
+    fails(run(lambda x: pd.concat([x, x.iloc[:1]])), "the forecast of s1 has the days")
+    fails(run(lambda x: x.assign(q50=float("nan"))), "s1 has null quantiles")
+    fails(run(lambda x: x.drop(columns="q90")), "s1 has no columns")
+    later = lambda x: pd.concat([x, x.iloc[-1:].assign(timestamp=x.timestamp.iloc[-1] + pd.Timedelta(days=9))])
+    assert run(later).count() == 12
+
+
+def test_fine_tuning_takes_a_bounded_number_of_series(spark):
+    from larkspur.operators import foundation
+
+    days = [(f"s{k}", d, float(d + k), 1.0, 0, d % 7) for k in range(9) for d in range(6)]
+    p = spark.createDataFrame(days, "series_id string, date_idx int, sales double, price double, promo int, dow int")
+    seen = foundation.fine_tune(p, 4, 3, lambda inputs, prediction_length, steps: (inputs, prediction_length, steps), "sales", steps=7)
+    assert len(seen[0]) == 9 and seen[1:] == (3, 7) and all(len(x["target"]) == len(x["past_covariates"]["price"]) == 5 for x in seen[0])
+    few = lambda df: [x["target"] for x in foundation.fine_tune(df, 4, 3, lambda inputs, prediction_length: inputs, "sales", max_series=4)]
+    assert few(p) == few(p.repartition(7)) and len(few(p)) == 4
+    with pytest.raises(ValueError):
+        foundation.fine_tune(p.limit(0), 4, 3, lambda *a, **k: None, "sales")
