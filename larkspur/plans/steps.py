@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,17 +88,28 @@ def _resolve(graph: dict[str, Node], name: str, spark: SparkSession, sf_dir: str
 
 
 def key_of(graph: dict[str, Node], name: str, spark: SparkSession, sf_dir: str, keys: dict[str, str] | None = None) -> str:
-    """A digest of what a node's rows follow from: steps, and path, size and time of each input file."""
+    """A digest of what a node's rows follow from: the library's code, steps, and path, size and time of
+    each input file."""
     keys = {} if keys is None else keys
     if name not in keys:
         if name in TABLES:
             said = "|".join(_files(spark, f"{sf_dir}/{name}.parquet"))
         else:
-            said = graph[name].step.recipe() + "".join(f"|{k}={key_of(graph, v, spark, sf_dir, keys)}" for k, v in sorted(graph[name].feeds.items()))
+            said = _code() + graph[name].step.recipe() + "".join(f"|{k}={key_of(graph, v, spark, sf_dir, keys)}" for k, v in sorted(graph[name].feeds.items()))
         keys[name] = hashlib.sha256(said.encode()).hexdigest()[:40]
     return keys[name]
 
 
+@cache
+def _code() -> str:
+    """A digest of the modules that steps can call: what an older version has kept is not read."""
+    out, top = hashlib.sha256(), Path(__file__).parents[1]
+    for part in ("functions", "operators", "plans", "streaming"):
+        for file in sorted((top / part).glob("*.py")):
+            out.update(file.read_bytes())
+    return out.hexdigest()
+
+
 def drop(graph: dict[str, Node], name: str, spark: SparkSession, sf_dir: str) -> None:
     """Remove what is kept of a node."""
     key = key_of(graph, name, spark, sf_dir)
