@@ -4,7 +4,9 @@ Hosts are linked by the absolute links in their pages. Trust is a personalised P
 from trusted hosts along links; distrust is one from blocked hosts against the links (who
 links to a blocked host is suspect). A host without a rule is blocked where its distrust
 is over ``least`` and over its trust, both in parts of what one seed of its kind starts
-with: how many other seeds there are changes no verdict.
+with: how many other seeds there are changes no verdict. For that reason what a host
+without links would hand on ends there: handed back to all seeds, it would make a score
+depend on hosts that have no path to it.
 
 Scores are integers in units of 10^-12 and shares are cut by integer division, so results
 do not depend on the order of sums. The columns trust and distrust are scores of seeds that
@@ -29,16 +31,23 @@ from . import scratch
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 UNIT = 10**12
 DAMPING = (85, 100)
-#: Rounds of the SQL form only, which does not look at convergence.
-ROUNDS = 8
 #: Of what one seed starts with.
 LEAST = UNIT // 10**6
-#: What all scores together may still be short of when the rounds end.
+#: What all scores together may still be short of for each seed when the rounds end.
 UNSETTLED = LEAST // 100
 #: Rounds between two looks at the sum of scores.
 STRIDE = 4
 
 
+def rounds_for(unsettled: int = UNSETTLED) -> int:
+    """Rounds after which ``unsettled`` or less of a seed's unit is still on its way, whatever the graph."""
+    up, down = DAMPING
+    n = 0
+    while UNIT * up**n > unsettled * down**n:
+        n += STRIDE
+    return n
+
+
 def _host(url: str) -> str:
     """SQL of the host of ``url``; A-Z only is lower-cased."""
     return f"translate(regexp_extract({url}, '^(?s).*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,9 +89,9 @@ def propagated(edges: DataFrame, seeds: DataFrame, src: str, dst: str, unsettled
     host without links would hand on is lost, which lowers all scores alike. ``part`` is the
     score where the seeds share one unit.
 
-    Scores begin at what the seeds keep and only rise, each rise being at most the damping
-    times the last one: the rise of STRIDE rounds bounds all that is still to come. Rounds
-    end when that is ``unsettled`` or less, summed over all hosts.
+    Scores begin at what the seeds keep and only rise. A round leaves at most the damping's
+    share of a seed's unit on its way, so the number of rounds is that of one seed; they end
+    before if no score rises any more.
     """
     up, down = DAMPING
     out = edges.groupBy(src).agg(F.sum("w").alias("out"))
@@ -91,14 +100,13 @@ def propagated(edges: DataFrame, seeds: DataFrame, src: str, dst: str, unsettled
     share = UNIT // max(base.count(), 1)
     start = base.select("host", F.expr(f"score * {down - up} div {down}").alias("score"))
     rank, total = start, start.agg(F.sum(F.expr("cast(score as decimal(38))"))).first()[0] or 0
-    left = (up / down) ** STRIDE
-    while total:
+    for _ in range(0, rounds_for(unsettled) if total else 0, STRIDE):
         for _ in range(STRIDE):
             moved = flow.join(rank, F.col("a") == F.col("host")).select(F.col("b").alias("host"), F.expr(f"cast(cast(score as decimal(20)) * {up} div {down} as decimal(20)) * w div out").alias("score"))
             rank = moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
         rank = scratch.materialize(rank, "rank")
         before, total = total, rank.agg(F.sum(F.expr("cast(score as decimal(38))"))).first()[0]
-        if float(total - before) * left / (1 - left) <= unsettled:
+        if total == before:
             break
     return rank.selectExpr("host", "score", f"cast(score as decimal(20)) * {share}L div {UNIT}L as part")
 
@@ -141,26 +149,27 @@ def _op2_sql() -> str:
     up, down = DAMPING
     steps = []
     for name, src, dst, verdict in (("t", "src", "dst", "allow"), ("d", "dst", "src", "block")):
-        steps.append(f"{name}f as materialized (select e.{src} as a, e.{dst} as b, w, o from edges e join (select {src} as x, sum(w)::bigint as o from edges group by 1) on x = e.{src})")
-        steps.append(f"{name}s as materialized (select host, {UNIT} // greatest(count(*) over (), 1) as score from votes where 2 * {verdict} > n)")
-        last = f"{name}s"
-        for k in range(ROUNDS):
-            steps.append(f"{name}{k} as materialized (select host, sum(score)::bigint as score from (select b as host, (score * {up} // {down}) * w // o as score from {name}f join {last} on a = host"
-                         f" union all select host, score * {down - up} // {down} from {name}s) group by host)")
-            last = f"{name}{k}"
-    end = ROUNDS - 1
+        steps += [
+            f"{name}f as materialized (select e.{src} as a, e.{dst} as b, w, o from edges e join (select {src} as x, sum(w)::bigint as o from edges group by 1) on x = e.{src})",
+            f"{name}s as materialized (select host, {UNIT}::bigint * {down - up} // {down} as score from votes where 2 * {verdict} > n)",
+            # a row also tells its round, and the sums of scores in this round and in the one before
+            f"{name}r as (select 0 as k, host, score::hugeint as score, (sum(score) over ())::hugeint as total, 0::hugeint as before from {name}s union all"
+            f" select k, host, sum(score)::hugeint, (sum(sum(score)) over ())::hugeint, max(before)::hugeint from ("
+            f" select k + 1 as k, b as host, (score * {up} // {down}) * w // o as score, total as before from {name}f join {name}r on a = host where k < {rounds_for()} and total > before"
+            f" union all select l.k + 1, {name}s.host, {name}s.score, l.total from {name}s cross join (select k, max(total) as total from {name}r where k < {rounds_for()} and total > before group by k) l) group by k, host)",
+            f"{name} as (select host, score, score * ({UNIT} // greatest((select count(*) from {name}s), 1)) // {UNIT} as part from {name}r where k = (select max(k) from {name}r))",
+        ]
     return rf"""
-with p as (select page_id, html, coalesce({host('url')}, '') as host, coalesce(regexp_extract(url, '^(?s).*?://[^/?#]*(/[^?#]*)', 1), '') as path from pages),
+with recursive p as (select page_id, html, coalesce({host('url')}, '') as host, coalesce(regexp_extract(url, '^(?s).*?://[^/?#]*(/[^?#]*)', 1), '') as path from pages),
 r as (select *, case {cases} end as rule from p),
 l as materialized (select *, case rule {kinds} end as ruled from r),
 votes as materialized (select host, count(*) as n, count(*) filter (ruled = 'allow') as allow, count(*) filter (ruled = 'block') as block from l where host <> '' group by host),
-links as (select distinct page_id, host as src, {host("concat(':', u)")} as dst
-          from (select page_id, host, unnest(regexp_extract_all(html, 'href\s*=\s*["'']?(?:https?:)?(//[^"''\s<>]+)', 1, 'i')) as u from l)),
+links as (select host as src, unnest(list_distinct(list_transform(regexp_extract_all(html, 'href\s*=\s*["'']?(?:https?:)?(//[^"''\s<>]+)', 1, 'i'), lambda u: {host("concat(':', u)")}))) as dst from l),
 edges as materialized (select src, dst, count(*) as w from links where src <> '' and dst <> '' and src <> dst group by 1, 2),
 {", ".join(steps)}
-select page_id, l.host, path, rule, coalesce(t.score, 0) as trust, coalesce(d.score, 0) as distrust,
+select page_id, l.host, path, rule, coalesce(t.part, 0)::bigint as trust, coalesce(d.part, 0)::bigint as distrust,
        coalesce(ruled, case when l.host <> '' and coalesce(d.score, 0) > {LEAST} and coalesce(d.score, 0) > coalesce(t.score, 0) then 'block' else 'allow' end) as verdict
-from l left join t{end} t on l.host = t.host left join d{end} d on l.host = d.host
+from l left join t on l.host = t.host left join d on l.host = d.host
 """
 
 

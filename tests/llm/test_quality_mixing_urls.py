@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 pytest.importorskip("larkspur.llm")
@@ -139,6 +141,27 @@ def test_scores_of_a_long_chain_are_settled(spark):
         assert got[h].verdict == "block", h
 
 
+def test_sql_is_the_same_fixed_point_where_hosts_are_linked(spark, tmp_path):
+    """Stars, cycles, chains, shared neighbours, hosts of both kinds; repeated pages and nulls."""
+    rng = random.Random(9)
+    hosts = [f"a{i}.com" for i in range(6)] + [f"b{i}.net" for i in range(6)] + [f"h{i}.org" for i in range(30)]
+    rows = []
+    for i in range(160):
+        h = rng.choice(hosts)
+        links = "".join(f'<a href="http://{rng.choice(hosts)}/x">' for _ in range(rng.choice((0, 1, 1, 2, 5))))
+        rows.append((i, f"http://{h}/{rng.choice(('es/', 'fr/', 'en/', ''))}{i % 7}", links, i))
+    rows += [(200, None, "<a href='http://a1.com/'>", 1), (201, "none", None, 1), (3, *rows[3][1:])]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string, host int").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = urls.op2_link_trust(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(urls.OP2_SQL)
+    rows = got.collect()
+    assert sorted(str(tuple(r[c] for c in want.columns)) for r in rows) == sorted(map(str, want.fetchall()))
+    assert sum(r.trust > 0 for r in rows) > 20 and sum(r.distrust > 0 for r in rows) > 20
+    assert {r.verdict for r in rows if r.rule is None} == {"allow", "block"}
+
+
 def test_archives_round_trip(spark):
     big = "x" * 3_000_000
     rows = [(3, "http://a/\r\nb", "same", 0), (1, None, "same", 0), (2, "u", "", 0), (4, "u", None, 0), (5, "u", big, 0), (6, "u", "WARC/1.1\r\n\r\nContent-Length: 9\r\n\r\n", 0), (None, "u", "same", 0), (1, None, "same", 0)]
