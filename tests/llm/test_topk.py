@@ -56,3 +56,37 @@ def test_components_of_any_finite_size(spark):
         want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best[:5])]
     got = topk.top_products(docs).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_short_vectors_are_copied_to_few_queries(spark, monkeypatch):
+    """Lengths fall by a power: nearly no group of short vectors meets a query, in a grid all would."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(4000):
+        x = [rng.gauss(0, 1) for _ in range(8)]
+        rows.append((i, [c * 40 / (1 + i % 997) for c in x]))
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    left, right, _, _ = topk.cells(df)
+    blocks, groups = right.select("block").distinct().count(), left.select("cq").distinct().count()
+    assert 0 < right.count() < 80
+    assert groups == 1 and blocks < 80 < 4000 // 20
+    monkeypatch.setattr(topk, "BOUNDS", 7)  # a coarser plan is still whole
+    assert got(topk.top_products(df)) == brute(rows)
+
+
+def test_vectors_of_other_lengths(spark, monkeypatch):
+    """Many vectors longer than the most frequent length, some with what decides beyond it; ids beyond the bound of rotation."""
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(rng.choice((6, 6, 6, 9, 9, 14, 3)))]) for i in range(500)]
+    rows += [(1000, [0.0] * 6 + [9.0] * 3), (1001, [0.0] * 8 + [7.0]), (1050, [1.0] * 300), (1100, [2.0**33] * 9), (1150, [-(2.0**45)] * 14)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    want = []
+    v = {i: [int(256 * c // 1) for c in x] for i, x in rows}
+    for q in [i for i in v if i % 50 == 0]:
+        best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v[q], v[c])))), c) for c in v if c != q)[:5]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert got(topk.top_products(df)) == sorted(want, key=str)
+    monkeypatch.setattr(topk, "ROTATED", 4)
+    assert got(topk.top_products(df)) == sorted(want, key=str)
