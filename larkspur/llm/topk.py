@@ -258,6 +258,13 @@ class _Best:
                 self.floor[x] = max(self.floor[x], np.nextafter(float(-best[-1][0]), -np.inf))
 
 
+def _grouped(blocks: DataFrame, groups: int) -> DataFrame:
+    """``blocks`` with the number of a group as ``cell``, in the same order: a cluster may deal them to more or
+    fewer partitions than were asked for."""
+    last = blocks.agg(F.max("cell")).first()[0] or 0
+    return blocks.withColumn("cell", F.expr(f"cell * {groups}L div {last + 1}L"))
+
+
 def _bounds(blocks: DataFrame, cells: int, lowest: bool) -> tuple[int, list[float]]:
     """(stride, bounds): for each ``stride`` cells in a row their lowest or highest bound, BOUNDS numbers at most.
     Bounds of cells rise if ``lowest``, else fall; a cell without blocks has the bound of the one before."""
@@ -272,6 +279,7 @@ def _bounds(blocks: DataFrame, cells: int, lowest: bool) -> tuple[int, list[floa
 
 def _dealt(asked: DataFrame, blocks: DataFrame, gq: int, gc: int) -> tuple[DataFrame, DataFrame]:
     """Queries and candidates at each cell (cq, cc) in which the longest candidate reaches the lowest query."""
+    asked, blocks = _grouped(asked, gq), _grouped(blocks, gc)
     sq, least = _bounds(asked, gq, True)
     sc, most = _bounds(blocks, gc, False)
 

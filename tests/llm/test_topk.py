@@ -4,6 +4,8 @@ import pytest
 
 pytest.importorskip("larkspur.llm")
 
+from pyspark.sql.classic.dataframe import DataFrame  # noqa: E402
+
 from larkspur.llm import topk  # noqa: E402
 
 
@@ -75,6 +77,18 @@ def test_short_vectors_are_copied_to_few_queries(spark, monkeypatch):
     assert got(topk.top_products(df)) == brute(rows)
 
 
+def test_any_number_of_partitions(spark, monkeypatch):
+    """Groups are those of the plan, however many partitions the blocks were written from."""
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 10 ** rng.uniform(-1, 1)) for _ in range(6)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK", 10)
+    plain = DataFrame.repartitionByRange
+    for n in (1, 37):
+        monkeypatch.setattr(DataFrame, "repartitionByRange", lambda d, _, *keys, n=n: plain(d, n, *keys))
+        assert got(topk.top_products(df)) == brute(rows)
+
+
 def test_vectors_of_other_lengths(spark, monkeypatch):
     """Many vectors longer than the most frequent length, some with what decides beyond it; ids beyond the bound of rotation."""
     rng = random.Random(6)
