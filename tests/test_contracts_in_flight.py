@@ -136,3 +136,17 @@ def test_fine_tuning_takes_a_bounded_number_of_series(spark):
     assert few(p) == few(p.repartition(7)) and len(few(p)) == 4
     with pytest.raises(ValueError):
         foundation.fine_tune(p.limit(0), 4, 3, lambda *a, **k: None, "sales")
+
+
+def test_costs_that_differ_by_noise_are_equal_whatever_their_size(spark):
+    """Sums of doubles differ in their last places by the order of their rows: at 2^25 by more than nine digits hide."""
+    import math
+
+    for cost in (40.0, 2.0**25 + 0.1):
+        more = cost
+        for _ in range(4):
+            more = math.nextafter(more, math.inf)
+        runs = spark.createDataFrame([("seasonal_naive", "a", 1.0, cost), ("tsb", "a", 1.0, more), ("seasonal_naive", "b", 1.0, cost), ("tsb", "b", 1.0, cost + 1e-4)], "model string, series_id string, policy_scale double, cost double")
+        rates = {r.model: r.cost_win_rate_vs_baseline for r in simulation.WIN_RATE.run(simulation=runs).collect()}
+        policies = {r.model: r.cost_win_rate_vs_baseline for r in release.POLICIES.run(summary=spark.createDataFrame([("seasonal_naive",), ("tsb",)], "model string"), simulation=runs).collect()}
+        assert rates == policies == {"seasonal_naive": 1.0, "tsb": 0.5}, cost
