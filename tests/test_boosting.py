@@ -85,6 +85,14 @@ def test_fits_do_not_depend_on_partitions(spark, fixture):
     assert all((x == y).all() for a, b in zip(one.splits, other.splits) for l, m in zip(a, b) for x, y in zip(l, m))
 
 
+def test_passes_run_on_all_cores(spark, fixture):
+    edges = qb.edges_of(fixture, ["a"])
+    rows = qb.binned(fixture.coalesce(1), ["a"], edges, ["row_hash", "day", "target"])
+    kept = qb.checkpointed(qb.spread(rows))
+    sizes = [n for n in kept.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes) and sum(sizes) == 3000
+
+
 def test_too_few_rows_are_refused(spark, fixture):
     rows = qb.binned(fixture.limit(50), ["a"], [np.array([0.0])], ["row_hash", "day", "target"])
     with pytest.raises(ValueError, match="not enough"):
