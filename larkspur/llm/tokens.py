@@ -1,24 +1,35 @@
 """Token ids by the public tokenizers of the ``tokenizers`` library, memoised by chunk.
 
 ``word_bpe_49k`` lower-cases, drops white space and never merges across it, so the ids of a
-text are those of its space-separated chunks, one after the other. Chunks that were seen
-twice are looked up in a memo of two generations; what a batch of texts lacks is joined by
-spaces, encoded in one call and dealt back by its offsets. Numbers of entries and lengths of
-keys are bounded: some 60 MB, whatever the corpus.
+text are those of its space-separated chunks, one after the other. Chunks are looked up in a memo
+of two generations. A chunk of printable ASCII and letters of Latin-1, which normalisation
+only lower-cases, is cut into the pieces that the tokenizer's own pattern makes (runs of letters
+or signs, digits). They recur more often than chunks, so they have a memo too; the library's
+model tokenises new ones. What else a batch of texts lacks (all chunks, where a tokenizer has other rules)
+is joined by spaces, encoded whole in one call and dealt back by its offsets.
+Numbers of entries and lengths of keys are bounded: some 100 MB, whatever the corpus.
 
 Ids are little-endian and unsigned, of 16 bits where the vocabulary allows it, else of 32.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable, Iterator
 
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks seen twice that a memo holds, those seen once, and bytes of the longest.
-MEMO_ROWS, MEMO_NEW, MEMO_BYTES = 200_000, 150_000, 64
+#: Chunks seen twice that a memo holds, chunks seen once, pieces, and bytes of the longest chunk.
+MEMO_ROWS, MEMO_NEW, MEMO_PIECES, MEMO_BYTES = 200_000, 150_000, 150_000, 64
 #: Bytes of texts that are encoded together.
 BATCH_BYTES = 4 << 20
 _ENCODERS: dict[str, ChunkEncoder] = {}
+#: The rules under which plain chunks are in lower case cut by PIECE.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+| ")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -47,21 +58,70 @@ def batches_of(texts: Iterable[bytes | None]) -> Iterator[list[bytes | None]]:
         yield held
 
 
+class Memo(dict):
+    """The ids of chunks seen twice, in two generations, and of some seen once; None for others."""
+
+    def __init__(self):
+        super().__init__()
+        self._before, self._once = {}, {}
+
+    def __missing__(self, chunk: bytes) -> bytes | None:
+        ids = self._once.pop(chunk, None)
+        if ids is None:
+            ids = self._before.get(chunk)
+        if ids is not None:
+            self[chunk] = ids
+        return ids
+
+    def add(self, found: dict[bytes, bytes], counts: dict[bytes, int]) -> None:
+        if len(self._once) > MEMO_NEW:
+            self._once.clear()
+        if len(self) > MEMO_ROWS:
+            self._before = self.copy()
+            self.clear()
+        for chunk, ids in found.items():
+            if len(chunk) <= MEMO_BYTES:
+                (self if counts[chunk] > 1 else self._once)[chunk] = ids
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        #: Bytes of an id.
-        self.width = 2 if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self._known: dict[bytes, bytes] = {}
-        self._before: dict[bytes, bytes] = {}
-        self._once: dict[bytes, bytes] = {}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        """The ids of each of ``parts``."""
+        vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        #: Bytes of an id; one with all bits set is none of the vocabulary's.
+        self.width = 2 if vocabulary < 1 << 16 else 4
+        self._known = Memo()
+        rules = [x and json.loads(x.__getstate__()) for x in (self._tokenizer.normalizer, self._tokenizer.pre_tokenizer)]
+        self._cuts = rules == [NORMALIZER, {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}]
+        if self._cuts:
+            # The model reads bytes as characters of its own; for ASCII these are the same.
+            self._letters = {k: self._tokenizer.pre_tokenizer.pre_tokenize_str(chr(k))[0][0] for k in range(0xDF, 0x100) if PLAIN.fullmatch(chr(k))}
+            self._bytes = [k.to_bytes(self.width, "little") for k in range(vocabulary)]
+            self._pieces: dict[str, bytes] = {}
+
+    def _cut(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each of ``chunks``, all plain, by way of their pieces."""
         import numpy as np
 
+        none = b"\xff" * self.width
+        cut = PIECE.findall(b" ".join([*chunks, b""]).decode("utf-8").lower())
+        pieces, tokenise, own = self._pieces, self._tokenizer.model.tokenize, self._bytes
+        if len(pieces) > MEMO_PIECES:
+            pieces.clear()
+        pieces[" "] = none
+        for piece in set(cut).difference(pieces):
+            pieces[piece] = b"".join([own[x.id] for x in tokenise(piece if piece.isascii() else piece.translate(self._letters))])
+        data = b"".join(map(pieces.__getitem__, cut))
+        ends = (np.flatnonzero(np.frombuffer(data, dtype=f"<u{self.width}") == int.from_bytes(none)) * self.width).tolist()
+        return [data[a:b] for a, b in zip([0, *[x + self.width for x in ends[:-1]]], ends, strict=True)]
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each of ``chunks``, encoded whole."""
+        import numpy as np
+
+        parts = [x.decode("utf-8") for x in chunks]
         found = self._tokenizer.encode(" ".join(parts), add_special_tokens=False)
         ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
         starts = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
@@ -71,17 +131,16 @@ class ChunkEncoder:
 
     def _encoded(self, counts: dict[bytes, int]) -> dict[bytes, bytes]:
         """The ids of chunks, which the memo lacks; ``counts`` tells how often a batch has them."""
-        out, chunks = {}, list(counts)
-        for at in range(0, len(chunks), 1 << 14):
-            some = chunks[at : at + (1 << 14)]
-            out.update(zip(some, self._ids([c.decode("utf-8") for c in some]), strict=True))
-        if len(self._once) > MEMO_NEW:
-            self._once.clear()
-        if len(self._known) > MEMO_ROWS:
-            self._before, self._known = self._known, {}
-        for chunk, ids in out.items():
-            if len(chunk) <= MEMO_BYTES:
-                (self._known if counts[chunk] > 1 else self._once)[chunk] = ids
+        out, plain, whole = {}, list(counts), []
+        text = b" ".join(plain).decode("utf-8")
+        if not self._cuts or not PLAIN.fullmatch(text) or "<|" in text:
+            whole = [x for x in plain if not self._cuts or b"<|" in x or not PLAIN.fullmatch(x.decode("utf-8"))]
+            plain = list(counts.keys() - set(whole))
+        for chunks, ids in ((plain, self._cut), (whole, self._ids)):
+            for at in range(0, len(chunks), 1 << 14):
+                some = chunks[at : at + (1 << 14)]
+                out.update(zip(some, ids(some), strict=True))
+        self._known.add(out, counts)
         return out
 
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
@@ -90,32 +149,19 @@ class ChunkEncoder:
 
     def _batch(self, texts: list[bytes | None]) -> list[bytes]:
         """Two passes: look up what is known, then encode the rest together."""
-        known, once, before = self._known, self._once, self._before
+        known = self._known.__getitem__
         rows, lacking = [], {}
         for text in texts:
             # A-Z in lower case are fewer chunks; special tokens are told by their case.
             chunks = (text.lower() if b"<|" not in text else text).split() if text else []
-            ids = list(map(known.get, chunks))
-            if None in ids:
-                gaps = [k for k, x in enumerate(ids) if x is None]
-                for k in gaps:
-                    chunk = chunks[k]
-                    again = once.pop(chunk, None)
-                    if again is None:
-                        again = known.get(chunk) or before.get(chunk)
-                    if again is None:
-                        lacking[chunk] = lacking.get(chunk, 0) + 1
-                        ids[k] = chunk
-                    else:
-                        known[chunk] = ids[k] = again
-                gaps = [k for k in gaps if ids[k] is chunks[k]]
-                rows.append((ids, gaps))
-            else:
-                rows.append((ids, ()))
+            ids = list(map(known, chunks))
+            gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else ()
+            for k in gaps:
+                ids[k] = chunk = chunks[k]
+                lacking[chunk] = lacking.get(chunk, 0) + 1
+            rows.append((ids, gaps))
         more = self._encoded(lacking) if lacking else {}
-        out = []
         for ids, gaps in rows:
             for k in gaps:
                 ids[k] = more[ids[k]]
-            out.append(b"".join(ids))
-        return out
+        return [b"".join(ids) for ids, _ in rows]
