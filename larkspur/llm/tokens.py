@@ -1,8 +1,8 @@
 """Token ids by the public tokenizers of the ``tokenizers`` library, memoised by chunk.
 
 ``word_bpe_49k`` lower-cases, drops white space and never merges across it, so the ids of a
-text are those of its space-separated chunks, one after the other. Chunks are looked up in a memo
-of two generations. A chunk of printable ASCII and letters of Latin-1, which normalisation
+text are those of its space-separated chunks, one after the other. The distinct chunks of a batch
+of texts are looked up in a memo of two generations. A chunk of printable ASCII and letters of Latin-1, which normalisation
 only lower-cases, is cut into the pieces that the tokenizer's own pattern makes (runs of letters
 or signs, digits). They recur more often than chunks, so they have a memo too; the library's
 model tokenises new ones. What else a batch of texts lacks (all chunks, where a tokenizer has other rules)
@@ -17,12 +17,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks seen twice that a memo holds, chunks seen once, pieces, and bytes of the longest chunk.
 MEMO_ROWS, MEMO_NEW, MEMO_PIECES, MEMO_BYTES = 200_000, 150_000, 150_000, 64
 #: Bytes of texts that are encoded together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _ENCODERS: dict[str, ChunkEncoder] = {}
 #: The rules under which plain chunks are in lower case cut by PIECE.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -129,39 +130,43 @@ class ChunkEncoder:
         data = np.array(found.ids, dtype=f"<u{self.width}").tobytes()
         return [data[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
 
-    def _encoded(self, counts: dict[bytes, int]) -> dict[bytes, bytes]:
+    def _encoded(self, counts: dict[bytes, int]) -> list[bytes]:
         """The ids of chunks, which the memo lacks; ``counts`` tells how often a batch has them."""
-        out, plain, whole = {}, list(counts), []
+        plain, whole = list(counts), []
         text = b" ".join(plain).decode("utf-8")
         if not self._cuts or not PLAIN.fullmatch(text) or "<|" in text:
             whole = [x for x in plain if not self._cuts or b"<|" in x or not PLAIN.fullmatch(x.decode("utf-8"))]
             plain = list(counts.keys() - set(whole))
+        out = {}
         for chunks, ids in ((plain, self._cut), (whole, self._ids)):
             for at in range(0, len(chunks), 1 << 14):
                 some = chunks[at : at + (1 << 14)]
                 out.update(zip(some, ids(some), strict=True))
         self._known.add(out, counts)
-        return out
+        return [out[x] for x in counts]
 
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text, as bytes."""
         return [ids for some in batches_of(texts) for ids in self._batch(some)]
 
     def _batch(self, texts: list[bytes | None]) -> list[bytes]:
-        """Two passes: look up what is known, then encode the rest together."""
-        known = self._known.__getitem__
-        rows, lacking = [], {}
-        for text in texts:
-            # A-Z in lower case are fewer chunks; special tokens are told by their case.
-            chunks = (text.lower() if b"<|" not in text else text).split() if text else []
-            ids = list(map(known, chunks))
-            gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else ()
-            for k in gaps:
-                ids[k] = chunk = chunks[k]
-                lacking[chunk] = lacking.get(chunk, 0) + 1
-            rows.append((ids, gaps))
-        more = self._encoded(lacking) if lacking else {}
-        for ids, gaps in rows:
-            for k in gaps:
-                ids[k] = more[ids[k]]
-        return [b"".join(ids) for ids, _ in rows]
+        """Distinct chunks of the batch are looked up, what is not known encoded together, and all put in their places."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # A-Z in lower case are fewer chunks; special tokens are told by their case.
+        lower = pa.array([(x.lower() if b"<|" not in x else x) if x else b"" for x in texts], pa.large_binary())
+        split = pc.ascii_split_whitespace(lower.view(pa.large_string()))
+        coded, begins = split.values.dictionary_encode(), split.offsets.to_numpy()
+        del lower, split  # a worker holds little beside its memo
+        chunks = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self._known.__getitem__, chunks))
+        gaps = [k for k, x in enumerate(ids) if x is None]
+        if gaps:
+            counts = np.bincount(coded.indices.to_numpy(), minlength=len(chunks))[gaps].tolist()
+            for k, x in zip(gaps, self._encoded(dict(zip([chunks[k] for k in gaps], counts, strict=True))), strict=True):
+                ids[k] = x
+        _, offsets, data = pa.array(ids, pa.large_binary()).take(coded.indices).buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[begins].tolist()
+        return [data[a:b].to_pybytes() for a, b in pairwise(ends)]
